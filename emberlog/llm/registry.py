@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from .simhash import op2_simhash
 from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
+    "op2_simhash": op2_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {}
