@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from .line_dedup import OP3_SQL, op3_line_dedup
+from .mixing import op10_mixing
 from .simhash import op2_simhash
 from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
+    "op3_line_dedup": op3_line_dedup,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op3_line_dedup": OP3_SQL,
+}
