@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+from .chat_format import OP5_SQL, op5_chat_format
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import op10_mixing
 from .simhash import op2_simhash
+from .substring_dedup import op4_substring_dedup
 from .token_counts import op1_token_counts
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash": op2_simhash,
     "op3_line_dedup": op3_line_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
+    "op5_chat_format": op5_chat_format,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
     "op3_line_dedup": OP3_SQL,
+    "op5_chat_format": OP5_SQL,
 }
