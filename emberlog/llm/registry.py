@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5_chat_format
+from .decontamination import op8_decontamination
+from .language_id import op9_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import op10_mixing
 from .simhash import op2_simhash
@@ -15,6 +17,8 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_format": op5_chat_format,
+    "op8_decontamination": op8_decontamination,
+    "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
 }
 
