@@ -68,7 +68,7 @@ def mix(docs: DataFrame, size: Column, doc_id: str = "doc_id", source: str = "so
     )
     sized = materialize(sized.withColumn("key", F.xxhash64(F.lit("mix"), "doc_id", "row")), "sized")
     rows = sized.count()
-    bits = max(4, (rows // range_rows).bit_length())
+    bits = max(8, (rows // range_rows).bit_length())
     ranged = sized.withColumn("range", F.shiftrightunsigned("key", 64 - bits))
     # sums per range; at most 2^bits rows per source
     sums = materialize(ranged.groupBy("source", "range").agg(F.sum("size").alias("range_size")), "ranges")
