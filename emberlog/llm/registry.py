@@ -10,6 +10,7 @@ from .mixing import op10_mixing
 from .simhash import op2_simhash
 from .substring_dedup import op4_substring_dedup
 from .token_counts import op1_token_counts
+from .topk_search import op7_topk_search
 from .toxicity import op6_toxicity
 
 QUERIES = {
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_substring_dedup": op4_substring_dedup,
     "op5_chat_format": op5_chat_format,
     "op6_toxicity": op6_toxicity,
+    "op7_topk_search": op7_topk_search,
     "op8_decontamination": op8_decontamination,
     "op9_language_id": op9_language_id,
     "op10_mixing": op10_mixing,
