@@ -30,6 +30,8 @@ from .common import table
 WINDOW = 13
 #: Windows that a batch gathers before it is sorted into runs (about 60 bytes each).
 BATCH_WINDOWS = 1_500_000
+#: Buckets that runs are dealt to, at least; more if the session shuffles into more partitions.
+LEAST_BUCKETS = 64
 NO_DOC = (1 << 63) - 1
 RUN = "bucket int, run binary, doc_id long, seq int, at array<int>"
 ODD, ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -208,7 +210,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, history: DataFrame |
     whole at any length; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.col(text).alias("text"))
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.withColumn("seq", F.lit(0))
