@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import table
@@ -198,8 +198,26 @@ def kept_words(text: str | None, at: np.ndarray | None, window: int) -> tuple[in
     return len(words), len(words) - len(stay), [words[i] for i in stay.tolist()]
 
 
+def zipped(text: str) -> Column:
+    """A text column as it crosses the shuffle; null stays null."""
+
+    @F.pandas_udf("binary")
+    def compressed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        zip_ = zstandard.ZstdCompressor(level=3)
+        for texts in batches:
+            yield pd.Series([None if t is None else zip_.compress(t.encode("utf-8", "surrogatepass")) for t in texts], dtype=object)
+
+    return compressed(F.col(text))
+
+
+def unzipped(raw: bytes | None) -> str | None:
+    return None if raw is None else zstandard.ZstdDecompressor().decompress(raw).decode("utf-8", "surrogatepass")
+
+
 def repeated_windows(docs: DataFrame, window: int = WINDOW, history: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, text, at`` per row of ``docs``: where windows start that a smaller document has too.
+    """``doc_id, zipped, at`` per row of ``docs``: where windows start that a smaller document has too.
+
+    ``zipped`` is the text, compressed for the way to its answers (``unzipped`` undoes it).
 
     ``history`` is an index that ``compacted`` made of earlier documents; windows
     found there count as those of a smaller document if their doc_id is smaller.
@@ -220,8 +238,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, history: DataFrame |
     if history is not None:
         made = made.unionByName(history, allowMissingColumns=True)
     answers = merge_joined(made).groupBy("doc_id", "seq").agg(F.flatten(F.collect_list("at")).alias("at"))
-    joined = docs.join(answers, ["doc_id", "seq"], "left")
-    return joined.select(F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"), "text", "at")
+    joined = docs.select("doc_id", "seq", zipped("text").alias("zipped")).join(answers, ["doc_id", "seq"], "left")
+    return joined.select(F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"), "zipped", "at")
 
 
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -232,8 +250,8 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         for texts, at in batches:
             rows = []
             for text, places in zip(texts, at):
-                n, gone, words = kept_words(text, places, WINDOW)
+                n, gone, words = kept_words(unzipped(text), places, WINDOW)
                 rows.append((n, gone, hashlib.sha256(b" ".join(words)).hexdigest()))
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
 
-    return found.select("doc_id", digest("text", "at").alias("d")).select("doc_id", "d.*")
+    return found.select("doc_id", digest("zipped", "at").alias("d")).select("doc_id", "d.*")
