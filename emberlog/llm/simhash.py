@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Null and empty texts have fingerprint zero, linked like any other; a text of
     fewer words is one shingle; texts of any length are hashed whole.  Rows that
     repeat a doc_id are one document: what either links to is connected.  A null
-    doc_id is never the smallest, and has a null component if all in it are null.
+    doc_id is never the smallest, connects nothing, and has a null component if all
+    in it are null.
     Other columns of ``docs`` are not read; an empty table gives no rows.
     """
     prints = docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint(F.col(text), words).alias("fp"))

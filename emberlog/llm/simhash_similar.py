@@ -140,8 +140,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     or if the Jaccard similarity of their sets of shingles is at least
     ``similarity`` (and they met, see RECALL).  A text of fewer words than a
     shingle is one shingle.  Null and empty texts are the same text.  Rows that
-    repeat a doc_id are one document.  A null doc_id is never the smallest, and has
-    a null component if all in it are null.  An empty table gives no rows.
+    repeat a doc_id are one document.  A null doc_id is never the smallest,
+    connects nothing, and has a null component if all in it are null.  An empty table gives no rows.
     """
 
     @F.pandas_udf("same long, wide binary, n int, sketch binary")
@@ -176,7 +176,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     right = signs.select(F.col("doc_id").alias("other"), F.col("sketch").alias("b"), F.col("n").alias("nb"))
     verified = links.join(left, "node").join(right, "other").where(compared("a", "na", "b", "nb") >= similarity).select("node", "other")
     # rows that repeat a doc_id connect what they are copies of
-    twice = signs.groupBy("doc_id").agg(F.count_distinct("same").alias("n")).where("n > 1").select("doc_id")
+    twice = signs.groupBy("doc_id").agg(F.count_distinct("same").alias("n")).where((F.col("n") > 1) & (F.col("doc_id") != none)).select("doc_id")
     again = signs.select("doc_id", "same").join(twice, "doc_id", "left_semi").join(firsts.select("same", "node"), "same")
     roots = components(verified.union(again.select("doc_id", "node")))
     classes = firsts.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))

@@ -106,8 +106,9 @@ def _answers(docs: np.ndarray, seqs: np.ndarray, at: np.ndarray) -> list[tuple]:
 
 
 def _frame(runs: list[tuple], answers: list[tuple], buckets: int) -> pd.DataFrame:
-    rows = [(b, r, None, None, None) for b, r in runs] + [(x[0] % buckets, None, *x) for x in answers]
-    return pd.DataFrame(rows, columns=["bucket", "run", "doc_id", "seq", "at"]).astype({"bucket": "int32", "doc_id": "Int64", "seq": "Int32"})
+    """Rows of both kinds; numbers are never null, as pandas would make them floats and large ids would change."""
+    rows = [(b, r, 0, 0, None) for b, r in runs] + [(x[0] % buckets, None, *x) for x in answers]
+    return pd.DataFrame(rows, columns=["bucket", "run", "doc_id", "seq", "at"]).astype({"bucket": "int32", "doc_id": "int64", "seq": "int32"})
 
 
 def window_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -214,13 +215,16 @@ def unzipped(raw: bytes | None) -> str | None:
     return None if raw is None else zstandard.ZstdDecompressor().decompress(raw).decode("utf-8", "surrogatepass")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, history: DataFrame | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def repeated_windows(
+    docs: DataFrame, window: int = WINDOW, history: DataFrame | None = None, buckets: int | None = None, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """``doc_id, zipped, at`` per row of ``docs``: where windows start that a smaller document has too.
 
     ``zipped`` is the text, compressed for the way to its answers (``unzipped`` undoes it).
 
-    ``history`` is an index that ``compacted`` made of earlier documents; windows
-    found there count as those of a smaller document if their doc_id is smaller.
+    ``history`` is an index that ``compacted`` made of earlier documents, over as
+    many ``buckets``; windows found there count as those of a smaller document if
+    their doc_id is smaller.
 
     Null and empty texts, and those of fewer words than a window, have no windows.
     Rows that repeat a doc_id are one document (they never remove from each
@@ -228,7 +232,9 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, history: DataFrame |
     whole at any length; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    buckets = max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    if history is not None and buckets is None:
+        raise ValueError("give the number of buckets of the history")
+    buckets = buckets or max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.col(text).alias("text"))
     if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
         docs = docs.withColumn("seq", F.lit(0))
@@ -236,7 +242,8 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW, history: DataFrame |
         docs = docs.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1)
     made = window_runs(docs, window, buckets)
     if history is not None:
-        made = made.unionByName(history, allowMissingColumns=True)
+        old = history.select("bucket", "run", F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("seq"), F.lit(None).cast("array<int>").alias("at"))
+        made = made.unionByName(old)
     answers = merge_joined(made).groupBy("doc_id", "seq").agg(F.flatten(F.collect_list("at")).alias("at"))
     joined = docs.select("doc_id", "seq", zipped("text").alias("zipped")).join(answers, ["doc_id", "seq"], "left")
     return joined.select(F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"), "zipped", "at")
