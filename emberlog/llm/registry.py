@@ -8,9 +8,9 @@ from .language_id import op9_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
 from .mixing import op10_mixing
 from .simhash import op2_simhash
-from .substring_dedup import op4_substring_dedup
+from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_counts import op1_token_counts
-from .topk_search import op7_topk_search
+from .topk_search import OP7_SQL, op7_topk_search
 from .toxicity import op6_toxicity
 
 QUERIES = {
@@ -28,5 +28,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_line_dedup": OP3_SQL,
+    "op4_substring_dedup": OP4_SQL,
     "op5_chat_format": OP5_SQL,
+    "op7_topk_search": OP7_SQL,
 }

@@ -262,3 +262,29 @@ def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["n_words", "n_removed", "kept_sha256"])
 
     return found.select("doc_id", digest("zipped", "at").alias("d")).select("doc_id", "d.*")
+
+
+OP4_SQL = r"""
+WITH split AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS a FROM documents
+), starts AS (
+  SELECT doc_id, a, unnest(range(1, len(a) - 11)) AS i FROM split WHERE len(a) >= 13
+), windows AS (
+  SELECT doc_id, i, array_to_string(a[i:i + 12], ' ') AS k FROM starts
+), firsts AS (
+  SELECT k, min(doc_id) AS first FROM windows GROUP BY k
+), again AS (
+  SELECT doc_id, i FROM windows JOIN firsts USING (k) WHERE first < doc_id
+), covered AS (
+  SELECT DISTINCT doc_id, i + j AS p FROM again, range(13) AS t(j)
+), words AS (
+  SELECT doc_id, unnest(a) AS w, generate_subscripts(a, 1) AS p FROM split
+), judged AS (
+  SELECT words.*, covered.p IS NOT NULL AS gone FROM words LEFT JOIN covered USING (doc_id, p)
+), counted AS (
+  SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(w, ' ' ORDER BY p) FILTER (NOT gone) AS kept
+  FROM judged GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM documents LEFT JOIN counted USING (doc_id)
+"""

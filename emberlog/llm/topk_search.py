@@ -194,3 +194,24 @@ def _search_block(spark: SparkSession, docs: DataFrame, asked: list[tuple], k: i
 def op7_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return search(docs, docs.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+
+
+OP7_SQL = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS w FROM documents
+), bags AS (
+  SELECT doc_id, w, count(*) AS tf FROM words GROUP BY ALL
+), lengths AS (
+  SELECT doc_id, sum(tf) AS n FROM bags GROUP BY doc_id
+), corpus AS (
+  SELECT (SELECT count(*) FROM documents) AS docs, (SELECT sum(n) FROM lengths) / (SELECT count(*) FROM documents) AS mean
+), idf AS (
+  SELECT w, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM bags, corpus GROUP BY w, docs
+), scored AS (
+  SELECT q.doc_id AS query_id, d.doc_id, round(sum(q.tf * idf * d.tf * 2.2 / (d.tf + 1.2 * (0.25 + 0.75 * n / mean))), 6) AS score
+  FROM bags q JOIN bags d ON q.w = d.w JOIN idf ON idf.w = q.w JOIN lengths l ON l.doc_id = d.doc_id, corpus
+  WHERE q.doc_id % 100 = 0 AND q.doc_id <> d.doc_id GROUP BY ALL
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM scored QUALIFY rank <= 10
+"""
