@@ -55,8 +55,8 @@ class Pipeline:
         return {n.id: plain(built[n.id], self._kept_columns(n)) for n in self.config.of("sink")}
 
     def _transform(self, node: Node, events: DataFrame, observed: bool) -> DataFrame:
-        out = self.queries[node.id].apply(events, carry=True, count_errors=node.id if observed else None)
-        return out.repartition(node.parallelism) if node.parallelism > 1 and not out.isStreaming else out
+        # tasks follow from partitions: a node's parallelism asks for no shuffle
+        return self.queries[node.id].apply(events, carry=True, count_errors=node.id if observed else None)
 
     def _kept_columns(self, sink: Node) -> bool:
         return any(n.role == "source" for n in self.config.nodes if n.id in sink.inputs)

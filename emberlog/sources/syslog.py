@@ -25,7 +25,7 @@ FIELDS = [
 META = "struct<received_at: timestamp, source_id: string, transport: struct<kind: string, peer_address: string, protocol: string>, payload_truncated: boolean>"
 PRI = r"(?s)^<([0-9]*)> *(.+)$"
 DATA = r'(?:\[(?:[^"\[\]]|"(?:[^"\\]|\\.)*")*\])+'
-RFC5424 = rf"(?s)^0*1 +([^ ]+) +([^ ]+) +([^ ]+) +([^ ]+) +([^ ]+)(?: *$| +(?:-(.*)|({DATA})(?: +(.*)|$)))"
+DATA_AND_BODY = rf"(?s)^({DATA})(?: +(.*))?$"
 RFC3164 = r"(?s)^( *[^ ]+ +[^ ]+ +[^ ]+) +([^ ]+) +(.*)$"
 STAMP = r"^([A-Za-z]{3}) +([0-9]{1,2}) ([0-9]{1,2}):([0-9]{1,2}):([0-9]{1,2})$"
 MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
@@ -72,13 +72,19 @@ def parse_syslog(
     number = F.when(pri == "", 0).otherwise(pri.try_cast("int"))
     parsed = lines.withColumns({"__rest": rest, "__pri": number}).where((F.col("__rest") != "") & F.col("__pri").between(0, 191))
 
+    # the header is cut once, at blanks; regular expressions look at what follows it
     rest = F.col("__rest")
-    new = F.lit(False) if mode == "rfc3164" else rest.rlike(RFC5424)
+    parsed = parsed.withColumn("__token", F.split(rest, " +", 7))
+    token = [F.get("__token", F.lit(i)) for i in range(7)]
+    after = F.coalesce(token[6], F.lit(""))
+    dash = after.startswith("-")
+    header = token[0].rlike("^0*1$") & (F.size("__token") >= 6) & (token[5] != "")
+    new = F.lit(False) if mode == "rfc3164" else header & ((after == "") | dash | after.rlike(DATA_AND_BODY))
     old = F.lit(False) if mode == "rfc5424" else rest.rlike(RFC3164)
-    g5 = [F.regexp_extract(rest, RFC5424, i) for i in range(9)]
-    g3 = [F.regexp_extract(rest, RFC3164, i) for i in range(4)]
-    body5 = F.ltrim(F.when(g5[7] != "", g5[8]).otherwise(g5[6]))
+    data = F.when((after != "") & ~dash, F.regexp_extract(after, DATA_AND_BODY, 1))
+    body5 = F.ltrim(F.when(dash, F.substr(after, F.lit(2))).otherwise(F.regexp_extract(after, DATA_AND_BODY, 2)))
     body5 = F.regexp_replace(body5, "^\u00ef\u00bb\u00bf" if binary else "^\ufeff", "")
+    g3 = [F.regexp_extract(rest, RFC3164, i) for i in range(4)]
     colon = F.instr(g3[3], ":")
     tag = F.when(colon > 0, F.trim(F.substr(g3[3], F.lit(1), colon - 1))).otherwise("")
     body3 = F.when(colon > 0, F.ltrim(F.substr(g3[3], colon + 1))).otherwise(g3[3])
@@ -92,13 +98,13 @@ def parse_syslog(
         "syslog_facility": F.shiftright("__pri", 3).cast("bigint"),
         "syslog_severity": (F.col("__pri") % 8).cast("bigint"),
         "syslog_format": either(F.lit("rfc5424"), F.lit("rfc3164")),
-        "syslog_timestamp": either(_present(g5[1]), _present(g3[1])),
+        "syslog_timestamp": either(_present(token[1]), _present(g3[1])),
         "syslog_timestamp_normalized": either(None, normalised_stamp(F.trim(g3[1]), now)),
-        "syslog_hostname": back(either(_present(g5[2]), _present(g3[2]))),
-        "syslog_app_name": back(either(_present(g5[3]), _present(tag))),
-        "syslog_proc_id": back(either(_present(g5[4]), None)),
-        "syslog_msg_id": back(either(_present(g5[5]), None)),
-        "syslog_structured_data": back(either(F.when(g5[7] != "", g5[7]), None)),
+        "syslog_hostname": back(either(_present(token[2]), _present(g3[2]))),
+        "syslog_app_name": back(either(_present(token[3]), _present(tag))),
+        "syslog_proc_id": back(either(_present(token[4]), None)),
+        "syslog_msg_id": back(either(_present(token[5]), None)),
+        "syslog_structured_data": back(either(data, None)),
         "syslog_version": either(F.lit(1).cast("bigint"), None),
         "syslog_msg_utf8_valid": F.when(F.col("__new") & ~valid, False),
     }

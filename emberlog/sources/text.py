@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,18 +84,12 @@ def infer_ndjson_schema(lines: DataFrame, column: str = "value") -> T.StructType
 
 
 def read_lines(spark, path: str) -> DataFrame:
-    """``file, value, line_no`` of text files, one row per line in file order.
+    """``file, line_no, value`` of text files of any size, one row per line.
 
-    Line numbers come from the position in the file, so that order does not depend
-    on partitions: files are read whole, one per row.
+    ``line_no`` orders the lines of a file: the place of the split that has them,
+    and their order in it.  Splits are read in parallel.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), "content")
-
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, content in zip(frame["file"], frame["content"]):
-                found = bytes(content).split(b"\n")
-                found = found[:-1] if found[-1] == b"" else found
-                yield pd.DataFrame({"file": file, "line_no": range(len(found)), "value": [x.removesuffix(b"\r") for x in found]})
-
-    return files.mapInPandas(split, "file string, line_no long, value binary")
+    rows = spark.read.option("lineSep", "\n").text(path)
+    value = F.regexp_replace("value", "\r$", "")
+    at = F.struct(F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row"))
+    return rows.select(F.col("_metadata.file_path").alias("file"), at.alias("line_no"), value.alias("value"))

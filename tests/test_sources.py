@@ -107,7 +107,9 @@ def test_text_and_raw(spark):
 
 def test_lines_of_files(spark, tmp_path):
     (tmp_path / "a.log").write_bytes(b"one\r\n\ntwo")
-    assert [(r.line_no, bytes(r.value)) for r in read_lines(spark, str(tmp_path)).orderBy("line_no").collect()] == [(0, b"one"), (1, b""), (2, b"two")]
+    lines = read_lines(spark, str(tmp_path))
+    assert [r.value for r in lines.orderBy("line_no").collect()] == ["one", "", "two"]
+    assert [r.value for r in aggregate_lines(lines, "stanza", stream="file").orderBy("line_no").collect()] == ["one", "two"]
 
 
 def records(spark, lines, **options):
