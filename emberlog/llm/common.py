@@ -32,12 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return given.rstrip("/")
 
 
+def application_dir(spark: SparkSession) -> str:
+    """Where this application writes its intermediates."""
+    return f"{shared_dir(spark)}/emberlog-{spark.sparkContext.applicationId}"
+
+
 def materialize(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage as ``checkpoint()`` does, and survives lost executors, but
-    in compressed columns, and a join planned on it knows its size.
+    in compressed columns, and a join planned on it knows its size.  The files lie
+    in a folder of the application's own, to be removed once it has ended: results
+    that were not read yet need them.
     """
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    path = f"{application_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, shared_dir, table
+from .common import application_dir, materialize, table
 
 SPACE = " \t\n\x0b\x0c\r"
 BATCHES = 4
@@ -39,7 +39,7 @@ class LineRuns:
 
     def __init__(self, spark: SparkSession, fanout: int = BATCHES):
         self.spark, self.fanout = spark, fanout
-        self.folder = f"{shared_dir(spark)}/runs-{uuid.uuid4().hex}"
+        self.folder = f"{application_dir(spark)}/runs-{uuid.uuid4().hex}"
         self.levels: list[list[str]] = []
 
     def _write(self, run: DataFrame, level: int) -> None:
