@@ -70,7 +70,7 @@ def parse_syslog(
     pri = F.regexp_extract(F.trim(text, F.lit(" \r\n")), PRI, 1)
     rest = F.regexp_extract(F.trim(text, F.lit(" \r\n")), PRI, 2)
     number = F.when(pri == "", 0).otherwise(pri.try_cast("int"))
-    parsed = lines.withColumns({"__rest": rest, "__pri": number}).where((F.col("__rest") != "") & F.col("__pri").between(0, 191))
+    parsed = lines.withColumns({"__rest": rest, "__pri": number})
 
     # the header is cut once, at blanks; regular expressions look at what follows it
     rest = F.col("__rest")
@@ -84,7 +84,10 @@ def parse_syslog(
     data = F.when((after != "") & ~dash, F.regexp_extract(after, DATA_AND_BODY, 1))
     body5 = F.ltrim(F.when(dash, F.substr(after, F.lit(2))).otherwise(F.regexp_extract(after, DATA_AND_BODY, 2)))
     body5 = F.regexp_replace(body5, "^\u00ef\u00bb\u00bf" if binary else "^\ufeff", "")
-    g3 = [F.regexp_extract(rest, RFC3164, i) for i in range(4)]
+    is_pri = (rest != "") & F.col("__pri").between(0, 191)
+    parsed = parsed.withColumns({"__new": is_pri & F.coalesce(new, F.lit(False))})
+    parsed = parsed.withColumns({f"__old{i}": F.when(is_pri & ~F.col("__new") & old, F.regexp_extract(rest, RFC3164, i)) for i in range(1, 4)})
+    g3 = [None, *(F.col(f"__old{i}") for i in range(1, 4))]
     colon = F.instr(g3[3], ":")
     tag = F.when(colon > 0, F.trim(F.substr(g3[3], F.lit(1), colon - 1))).otherwise("")
     body3 = F.when(colon > 0, F.ltrim(F.substr(g3[3], colon + 1))).otherwise(g3[3])
@@ -93,7 +96,6 @@ def parse_syslog(
         none = F.lit(None)
         return F.when(F.col("__new"), none if five is None else five).otherwise(none if three is None else three)
 
-    picked = parsed.withColumn("__new", new).where(F.col("__new") | old)
     values = {
         "syslog_facility": F.shiftright("__pri", 3).cast("bigint"),
         "syslog_severity": (F.col("__pri") % 8).cast("bigint"),
@@ -110,7 +112,11 @@ def parse_syslog(
     }
     meta = transport_meta(lines.columns, source_id)
     message = back(either(body5, body3)).cast("string").alias("message")
-    return picked.select(message, *(values[n].cast(t).alias(n) for n, t in FIELDS), meta.cast(META).alias("_meta"))
+    event = F.struct(message, *(values[n].cast(t).alias(n) for n, t in FIELDS), meta.cast(META).alias("_meta"))
+    # a generator of one row or none: what filters its columns stays above it, so
+    # that a line is parsed once however often a statement refers to its parts
+    read = parsed.select(event.alias("__event"), (F.col("__new") | g3[1].isNotNull()).alias("__valid"))
+    return read.select(F.inline(F.when(F.col("__valid"), F.array("__event"))))
 
 
 def transport_meta(columns: list[str], source_id: str | None = None) -> Column:
