@@ -7,6 +7,12 @@ needs to meet with probability RECALL, of as many bits as keep a shard small.  I
 each shard a BK-tree holds the representatives found so far; a fingerprint within
 the radius of one links to the nearest, any other becomes a representative.  Links
 are then verified by the Jaccard similarity of the texts' shingles.
+
+The trees only join large groups cheaply; what they miss is found by an exact
+filter.  Sets as similar as that share one of the few shingles that come first in
+any common order, here from rare to frequent.  Documents that share one and are in
+different groups so far are compared, unless the places of the shingle rule a
+similar pair out; a shingle of many documents is dealt by pairs of blocks.
 """
 
 from __future__ import annotations
@@ -31,6 +37,11 @@ RADIUS = 20
 #: Smallest shingle hashes kept of a text: its similarities are exact up to so many shingles,
 #: and have a standard error of 0.025 above.
 SKETCH = 256
+#: Documents from which the order of shingles is drawn, about, and frequent shingles kept; any
+#: order finds the same pairs, a better one compares less.
+ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
+#: Documents of a shingle above which they are dealt by pairs of blocks.
+BLOCK = 1024
 NO_DOC = (1 << 63) - 1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -53,13 +64,34 @@ def wide_fingerprint(hashes: np.ndarray) -> bytes:
     return b"".join(np.packbits(bit_counts(p) * 2 > len(hashes), bitorder="little").tobytes() for p in parts)
 
 
-def signature(text: str | None, words: int = WORDS) -> tuple[int, bytes, int, bytes]:
-    """Hash of the word sequence, wide fingerprint, number of distinct shingles, sketch."""
+def tokens_of(hashes: np.ndarray) -> np.ndarray:
+    """Shingles as the filter has them: equal ones are equal, and few others."""
+    return (hashes >> np.uint64(32)).astype(np.uint32)
+
+
+def least_shared(n: int | np.ndarray, similarity: float) -> int | np.ndarray:
+    """Shingles that two sets as similar share at least, ``n`` in all of both."""
+    return np.ceil(similarity / (1 + similarity) * n - 1e-9).astype(int)
+
+
+def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """Tokens of the first shingles by (frequency, hash): any set as similar has one of its own first ones among them."""
+    short, (known, counts) = tokens_of(hashes), often
+    frequency = np.zeros(len(short), np.int64)
+    if len(known) and len(short):
+        at = np.minimum(np.searchsorted(known, short), len(known) - 1)
+        frequency = np.where(known[at] == short, counts[at], 0)
+    first = len(hashes) - math.ceil(similarity * len(hashes) - 1e-9) + 1
+    return short[np.lexsort((hashes, frequency))[:first]]
+
+
+def signature(text: str | None, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, similarity: float = SIMILARITY) -> tuple[int, bytes, int, bytes, bytes]:
+    """Hash of the word sequence, wide fingerprint, number of distinct shingles, sketch, first tokens."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     same = xxhash.xxh64_intdigest(b" ".join(found)) - (1 << 63)
     hashes = np.unique(shingle_hashes(text, words))
     sketch = np.sort((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
-    return same, wide_fingerprint(hashes), len(hashes), sketch.tobytes()
+    return same, wide_fingerprint(hashes), len(hashes), sketch.tobytes(), prefix(hashes, often, similarity).tobytes()
 
 
 def jaccard(a: bytes, na: int, b: bytes, nb: int) -> float:
@@ -133,26 +165,101 @@ def shard_links(dealt: DataFrame, radius: int) -> DataFrame:
     return by_shard.select("key", "node", "fp").mapInPandas(linked, "node long, other long")
 
 
+def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted tokens that are in more than one document of a sample, and in how many."""
+    grain = 1 << 30
+    share = min(grain, grain * ORDER_DOCS // max(1, docs.count()))
+
+    @F.pandas_udf("array<long>")
+    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(tokens_of(shingle_hashes(t, words))).astype(np.int64) for t in texts], dtype=object)
+
+    sample = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64(F.lit("order"), "text"), F.lit(grain)) < share).distinct()
+    counts = sample.select(F.explode(tokens("text")).alias("token")).groupBy("token").count().where("count > 1")
+    rows = counts.orderBy(F.desc("count"), "token").limit(ORDER_SHINGLES).toPandas().sort_values("token")
+    return rows["token"].to_numpy().astype(np.uint32), rows["count"].to_numpy().astype(np.int64)
+
+
+def filtered_pairs(rows: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs ``node, other`` of ``rows`` sorted by cell that may be similar: whole cells, pairs of different groups only."""
+    cell, node, group, n, pos, block = (rows[c].to_numpy() for c in ("cell", "node", "group", "n", "pos", "block"))
+    mixed = rows["mixed"].to_numpy()
+    end = np.searchsorted(cell, cell, side="right")
+    found, held = [], 0
+    at, shift = np.arange(len(rows)), 1
+    while len(at := at[at + shift < end[at]]):
+        to = at + shift
+        fits = (group[at] != group[to]) & (~mixed[at] | (block[at] != block[to]))
+        # if this is the first shingle that both have, they share no more than the rest of either
+        fits &= np.minimum(n[at] - pos[at], n[to] - pos[to]) >= least_shared(n[at] + n[to], similarity)
+        a, b = node[at[fits]], node[to[fits]]
+        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
+        held += len(a)
+        if held > 100_000:
+            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["node", "other"])
+            found, held = [], 0
+        shift += 1
+    if held:
+        yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["node", "other"])
+
+
+def prefix_pairs(firsts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Distinct ``node, other`` of ``firsts(node, n, first)`` that may be similar and have different ``roots(node, root)``."""
+
+    @F.pandas_udf("array<long>")
+    def unpacked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for firsts in batches:
+            yield pd.Series([np.frombuffer(f, np.uint32).astype(np.int64) for f in firsts], dtype=object)
+
+    dealt = firsts.where("n > 0").select("node", "n", F.posexplode(unpacked("first")).alias("pos", "token"))
+    counts = materialize(dealt.groupBy("token").count().where("count > 1"), "tokens")
+    shared = dealt.join(counts, "token").join(roots, "node", "left")
+    shared = materialize(shared.select("token", "count", "node", F.coalesce("root", "node").alias("group"), "n", "pos"), "shared")
+    # every pair of blocks is a cell, so that all of a frequent shingle's documents still meet
+    blocks = F.ceil(F.col("count") / BLOCK)
+    cut = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "token"), F.col("blocks")))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    cell = F.xxhash64("token", F.least("block", "with"), F.greatest("block", "with")).alias("cell")
+    cells = cut.select(cell, "node", "group", "n", "pos", "block", (F.col("block") != F.col("with")).alias("mixed"))
+
+    def paired(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in frames:
+            rows = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            if not len(rows):
+                continue
+            last = int(np.searchsorted(rows["cell"].to_numpy(), rows["cell"].iloc[-1]))
+            yield from filtered_pairs(rows.iloc[:last], similarity)
+            rest = rows.iloc[last:]
+        if rest is not None:
+            yield from filtered_pairs(rest, similarity)
+
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInPandas(paired, "node long, other long").where("node != other").distinct()
+
+
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id, component_id`` per row of ``docs``: the smallest doc_id of its group.
 
     Documents are linked if their words are the same, but for case and white space,
     or if the Jaccard similarity of their sets of shingles is at least
-    ``similarity`` (and they met, see RECALL).  A text of fewer words than a
+    ``similarity``.  A text of fewer words than a
     shingle is one shingle.  Null and empty texts are the same text.  Rows that
     repeat a doc_id are one document.  A null doc_id is never the smallest,
     connects nothing, and has a null component if all in it are null.  An empty table gives no rows.
     """
 
-    @F.pandas_udf("same long, wide binary, n int, sketch binary")
+    often = frequent_shingles(docs, text, words)
+
+    @F.pandas_udf("same long, wide binary, n int, sketch binary, first binary")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([signature(t, words) for t in texts], columns=["same", "wide", "n", "sketch"])
+            yield pd.DataFrame([signature(t, often, words, similarity) for t in texts], columns=["same", "wide", "n", "sketch", "first"])
 
     none = F.lit(NO_DOC)
     signs = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("doc_id"), signed(F.col(text)).alias("s"))
     signs = materialize(signs.select("doc_id", "s.*"), "signs")
-    firsts = materialize(signs.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide"), F.max("n").alias("n")), "firsts")
+    firsts = materialize(signs.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide"), F.max("n").alias("n"), F.first("first").alias("first")), "firsts")
     chosen = bands(firsts.count(), similarity)
 
     @F.pandas_udf("fp long, keys array<long>")
@@ -174,11 +281,16 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     left = signs.select(F.col("doc_id").alias("node"), F.col("sketch").alias("a"), F.col("n").alias("na"))
     right = signs.select(F.col("doc_id").alias("other"), F.col("sketch").alias("b"), F.col("n").alias("nb"))
-    verified = links.join(left, "node").join(right, "other").where(compared("a", "na", "b", "nb") >= similarity).select("node", "other")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return pairs.join(left, "node").join(right, "other").where(compared("a", "na", "b", "nb") >= similarity).select("node", "other")
+
+    near = components(verified(links))
+    pairs = materialize(prefix_pairs(firsts.select("node", "n", "first"), near, similarity), "pairs")
     # rows that repeat a doc_id connect what they are copies of
     twice = signs.groupBy("doc_id").agg(F.count_distinct("same").alias("n")).where((F.col("n") > 1) & (F.col("doc_id") != none)).select("doc_id")
     again = signs.select("doc_id", "same").join(twice, "doc_id", "left_semi").join(firsts.select("same", "node"), "same")
-    roots = components(verified.union(again.select("doc_id", "node")))
+    roots = components(near.select("node", F.col("root").alias("other")).union(verified(pairs)).union(again.select("doc_id", "node")))
     classes = firsts.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
     found = signs.select("doc_id", "same").join(materialize(classes, "classes"), "same")
     return found.select(F.nullif("doc_id", none).alias("doc_id"), F.nullif("component_id", none).alias("component_id"))
