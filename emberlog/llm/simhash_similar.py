@@ -34,9 +34,6 @@ WORDS, SIMILARITY, RECALL = 5, 0.8, 0.97
 BITS = 256
 #: Differing bits among the first 64 up to which fingerprints link: five standard deviations.
 RADIUS = 20
-#: Smallest shingle hashes kept of a text: its similarities are exact up to so many shingles,
-#: and have a standard error of 0.025 above.
-SKETCH = 256
 #: Documents from which the order of shingles is drawn, about, and frequent shingles kept; any
 #: order finds the same pairs, a better one compares less.
 ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
@@ -85,23 +82,19 @@ def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity:
     return short[np.lexsort((hashes, frequency))[:first]]
 
 
-def signature(text: str | None, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, similarity: float = SIMILARITY) -> tuple[int, bytes, int, bytes, bytes]:
-    """Hash of the word sequence, wide fingerprint, number of distinct shingles, sketch, first tokens."""
+def signature(text: str | None, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, similarity: float = SIMILARITY) -> tuple[int, bytes, int, bytes]:
+    """Hash of the word sequence, wide fingerprint, number of distinct shingles, first tokens."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     same = xxhash.xxh64_intdigest(b" ".join(found)) - (1 << 63)
     hashes = np.unique(shingle_hashes(text, words))
-    sketch = np.sort((hashes >> np.uint64(32)).astype(np.uint32))[:SKETCH]
-    return same, wide_fingerprint(hashes), len(hashes), sketch.tobytes(), prefix(hashes, often, similarity).tobytes()
+    return same, wide_fingerprint(hashes), len(hashes), prefix(hashes, often, similarity).tobytes()
 
 
 def jaccard(a: bytes, na: int, b: bytes, nb: int) -> float:
-    """Similarity of two shingle sets from their smallest hashes."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    both = np.intersect1d(x, y)
-    if na <= SKETCH and nb <= SKETCH:
-        return len(both) / max(1, len(x) + len(y) - len(both))
-    least = np.union1d(x, y)[:SKETCH]
-    return float(np.isin(least, both).sum()) / len(least)
+    """Similarity of two sets of ``na`` and ``nb`` hashes, whole and each hash once."""
+    x, y = (np.frombuffer(v, f"u{len(v) // n}") if n else np.empty(0, np.uint64) for v, n in ((a, na), (b, nb)))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / max(1, na + nb - both)
 
 
 def bands(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> np.ndarray:
@@ -251,10 +244,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     often = frequent_shingles(docs, text, words)
 
-    @F.pandas_udf("same long, wide binary, n int, sketch binary, first binary")
+    @F.pandas_udf("same long, wide binary, n int, first binary")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([signature(t, often, words, similarity) for t in texts], columns=["same", "wide", "n", "sketch", "first"])
+            yield pd.DataFrame([signature(t, often, words, similarity) for t in texts], columns=["same", "wide", "n", "first"])
 
     none = F.lit(NO_DOC)
     signs = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("doc_id"), signed(F.col(text)).alias("s"))
@@ -279,11 +272,20 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def compared(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
         return pd.Series([jaccard(*x) for x in zip(a, na, b, nb)], dtype=float)
 
-    left = signs.select(F.col("doc_id").alias("node"), F.col("sketch").alias("a"), F.col("n").alias("na"))
-    right = signs.select(F.col("doc_id").alias("other"), F.col("sketch").alias("b"), F.col("n").alias("nb"))
+    @F.pandas_udf("binary")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in texts], dtype=object)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        return pairs.join(left, "node").join(right, "other").where(compared("a", "na", "b", "nb") >= similarity).select("node", "other")
+        """Those of at least the similarity, by the whole sets of the documents in ``pairs`` only."""
+        linked = pairs.select(F.explode(F.array("node", "other")).alias("id")).distinct()
+        texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("id"), F.col(text).alias("text")).join(linked, "id", "left_semi")
+        sets = materialize(texts.select("id", hashed("text").alias("set")).withColumn("n", (F.length("set") / 8).cast("int")), "sets")
+        left = sets.select(F.col("id").alias("node"), F.col("set").alias("a"), F.col("n").alias("na"))
+        right = sets.select(F.col("id").alias("other"), F.col("set").alias("b"), F.col("n").alias("nb"))
+        found = pairs.join(left, "node").join(right, "other").where(compared("a", "na", "b", "nb") >= similarity)
+        return materialize(found.select("node", "other").distinct(), "verified")
 
     near = components(verified(links))
     pairs = materialize(prefix_pairs(firsts.select("node", "n", "first"), near, similarity), "pairs")

@@ -50,3 +50,15 @@ def test_pairs_among_look_alikes_of_a_template(spark):
         again[at : at + 6] = new_words(rng, 6)
         texts += [" ".join(own), " ".join(again)]
     assert found(spark, texts) == groups(texts)
+
+
+def test_long_texts_are_compared_whole(spark):
+    rng, texts, wanted = random.Random(6), [], []
+    for n in range(60):  # of some 600 shingles, just above or just below 0.8
+        own = new_words(rng, 600)
+        again = own[:-67] + new_words(rng, 68 if n % 2 else 64)
+        texts += [" ".join(own), " ".join(again)]
+        wanted.append(jaccard(shingles(texts[-2]), shingles(texts[-1])) >= 0.8)
+    assert 20 < sum(wanted) < 40
+    got = found(spark, texts)
+    assert [got[2 * n + 1] == 2 * n for n in range(60)] == wanted
