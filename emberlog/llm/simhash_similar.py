@@ -2,8 +2,8 @@
 
 A similarity of 0.8 leaves about 15 % of fingerprint bits different, which is far
 more than a pigeonhole over blocks can find.  So fingerprints have 256 bits, and
-shards are keyed by sets of bits drawn at random: as many shards as a similar pair
-needs to meet with probability RECALL, of as many bits as keep a shard small.  In
+shards are keyed by sets of bits drawn at random: as many shards as would make
+independent bits meet with probability RECALL, of as many bits as keep a shard small.  In
 each shard a BK-tree holds the representatives found so far; a fingerprint within
 the radius of one links to the nearest, any other becomes a representative.  Links
 are then verified by the Jaccard similarity of the texts' shingles.
@@ -32,7 +32,7 @@ from .simhash import shingle_hashes
 
 WORDS, SIMILARITY, RECALL = 5, 0.8, 0.97
 BITS = 256
-#: Differing bits among the first 64 up to which fingerprints link: five standard deviations.
+#: Differing bits among the first 64 up to which fingerprints link in a tree: 3.6 standard deviations.
 RADIUS = 20
 #: Documents from which the order of shingles is drawn, about, and frequent shingles kept; any
 #: order finds the same pairs, a better one compares less.

@@ -62,3 +62,32 @@ def test_long_texts_are_compared_whole(spark):
     assert 20 < sum(wanted) < 40
     got = found(spark, texts)
     assert [got[2 * n + 1] == 2 * n for n in range(60)] == wanted
+
+
+def test_every_pair_near_the_similarity_is_found(spark, monkeypatch):
+    monkeypatch.setattr(simhash_similar, "BLOCK", 16, raising=False)
+    rng, texts, near = random.Random(7), [], 0
+    common = new_words(rng, 30)
+    for n in range(300):  # from 0.78 to 0.9; a third with a passage that all of them have
+        size = rng.choice([40, 120, 300])
+        own = new_words(rng, size) + (common if n % 3 == 0 else [])
+        new = round(size * rng.uniform(0.05, 0.125))
+        again = own[:-new] + new_words(rng, new) if n % 2 else new_words(rng, new) + own[new:]
+        near += 0.78 <= jaccard(shingles(" ".join(own)), shingles(" ".join(again))) <= 0.9
+        texts += [" ".join(own), " ".join(again)]
+    texts += ["one two", "One  TWO", "one two three four five", "one two three four five six", " ".join("abcde" * 3)]
+    assert near > 200
+    assert found(spark, texts) == groups(texts)
+
+
+def test_frequent_first_shingles_meet_across_blocks(spark, monkeypatch):
+    monkeypatch.setattr(simhash_similar, "BLOCK", 4, raising=False)
+    monkeypatch.setattr(simhash_similar, "ORDER_SHINGLES", 0, raising=False)  # an order that says nothing
+    rng, texts = random.Random(8), []
+    template = new_words(rng, 60)
+    for _ in range(60):
+        own = list(template)
+        for at in rng.sample(range(60), 2):
+            own[at] = new_words(rng, 1)[0]
+        texts.append(" ".join(own))
+    assert found(spark, texts) == groups(texts)
