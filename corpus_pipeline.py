@@ -22,7 +22,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     given and that the held-out rule leaves; without any, nothing can be judged and
     all documents stay.
     """
-    labelled = docs.where(~held_out()).where("lang IS NOT NULL AND text RLIKE '[A-Za-z]'")
+    labelled = docs.where(~held_out()).where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     if labelled.isEmpty():
         return docs.select(*COLUMNS)
     found = with_language(docs, train(labelled)).where("NOT rejected")

@@ -49,3 +49,14 @@ def test_stages_take_an_empty_table(spark):
     docs = made(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_language_stage_learns_alphabets_other_than_latin(spark):
+    rng = random.Random(2)
+    words = {"ru": ["привет", "дорога", "слово", "книга", "время", "город"], "el": ["λόγος", "θάλασσα", "δρόμος", "βιβλίο", "χρόνος", "πόλη"]}
+    rows = [(n, " ".join(rng.choice(words[lang]) for _ in range(40)), lang) for n, lang in enumerate(["ru", "el"] * 30)]
+    rows += [(100, None, "ru"), (101, "12 34 ?", "ru")]
+    stage = dict(corpus_pipeline.STAGES)["language_id"]
+    assert {r.doc_id: r.lang for r in stage(spark, made(spark, rows), SF).collect()} == {n: lang for n, _, lang in rows[:60]}
+    rows += [(n, " ".join(rng.choice(["the", "street", "word", "book", "time"]) for _ in range(40)), "en") for n in range(200, 230)]
+    assert {r.doc_id: r.lang for r in stage(spark, made(spark, rows), SF).collect()} == {n: lang for n, _, lang in rows if n not in (100, 101)}
