@@ -7,12 +7,18 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
 #: A word, in the syntax that Java, Python and RE2 share: no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+def ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -20,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests on one machine) a temporary folder
-    is made, set as the session's checkpoint folder, and removed at exit.
+    Only where the session names none and runs on one machine (tests) a temporary
+    folder is made, set as the session's checkpoint folder, and removed at exit; on
+    a cluster that would not be shared, and is an error.
     """
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not given:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = tempfile.mkdtemp(prefix="emberlog-")
         atexit.register(shutil.rmtree, given, True)
         spark.sparkContext.setCheckpointDir(given)

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from .chat_format import OP5_SQL, op5_chat_format
-from .decontamination import op8_decontamination
+from .decontamination import OP8_SQL, op8_decontamination
 from .language_id import op9_language_id
 from .line_dedup import OP3_SQL, op3_line_dedup
-from .mixing import op10_mixing
+from .mixing import OP10_SQL, op10_mixing
 from .simhash import op2_simhash
 from .substring_dedup import OP4_SQL, op4_substring_dedup
 from .token_counts import op1_token_counts
@@ -31,4 +31,6 @@ ORACLE_SQL = {
     "op4_substring_dedup": OP4_SQL,
     "op5_chat_format": OP5_SQL,
     "op7_topk_search": OP7_SQL,
+    "op8_decontamination": OP8_SQL,
+    "op10_mixing": OP10_SQL,
 }
