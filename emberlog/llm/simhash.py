@@ -168,22 +168,22 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Null and empty texts have fingerprint zero, linked like any other; a text of
     fewer words is one shingle; texts of any length are hashed whole.  Rows that
-    repeat a doc_id are one document: what either links to is connected.  A null
-    doc_id is never the smallest, connects nothing, and has a null component if all
-    in it are null.
+    repeat a doc_id are one document: what either links to is connected.  A row
+    without a doc_id links by its fingerprint like any other, is never the
+    smallest, and has a null component if all in it are without.
     Other columns of ``docs`` are not read; an empty table gives no rows.
     """
     prints = docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprint(F.col(text), words).alias("fp"))
     prints = materialize(prints, "prints")
-    none = F.lit((1 << 63) - 1)
-    firsts = materialize(prints.groupBy("fp").agg(F.coalesce(F.min("doc_id"), none).alias("node")), "firsts")
+    # a fingerprint is its own node; ids come in when components are known
+    firsts = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "firsts")
     # rows that repeat a doc_id connect their fingerprints through it
-    twice = prints.groupBy("doc_id").agg(F.count_distinct("fp").alias("n")).where("n > 1").select("doc_id")
-    again = prints.join(twice, "doc_id", "left_semi").join(firsts, "fp").select(F.col("doc_id").alias("node"), F.col("node").alias("other"))
-    roots = components(fingerprint_links(firsts).union(again))
-    of_print = materialize(
-        firsts.join(roots, "node", "left").select("fp", F.nullif(F.coalesce("root", "node"), none).alias("component_id")), "classes"
-    )
+    owned = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("other"), F.max("fp").alias("most"))
+    again = prints.join(owned.where("other != most"), "doc_id").select(F.col("fp").alias("node"), "other")
+    roots = components(fingerprint_links(firsts.select("fp", F.col("fp").alias("node"))).union(again))
+    rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    of_print = materialize(rooted.join(least, "root").select("fp", "component_id"), "classes")
     return prints.join(of_print, "fp").select("doc_id", "fp", "component_id")
 
 
