@@ -4,7 +4,7 @@ Vectors count trigrams of bytes (lower case, all that is no letter one space),
 hashed into a fixed number of dimensions.  The training rows of a language are
 clustered by spherical k-means into several centroids; a text has the language
 of the centroid with the largest cosine.  Whether a text is too far from all of
-them is judged against the training text that is farthest.
+them is judged against texts of about its length that centroids were not fitted on.
 """
 
 from __future__ import annotations
@@ -25,9 +25,11 @@ DIMENSIONS = 4096
 ROWS_PER_LANGUAGE = 600
 CENTROIDS = 4
 LENGTH_CLASSES = 32
-#: A text is rejected below this share of the smallest cosine of training texts of at least
-#: SHORT trigrams; a shorter one, if it has next to nothing in common with any centroid.
-SLACK, SHORT, NOTHING = 0.5, 64, 0.02
+#: A text is rejected below this share of the smallest cosine of held-out texts of about its length;
+#: where there was none, if it has next to nothing in common with any centroid.
+SLACK, NOTHING = 0.8, 0.02
+#: Every so many training rows are held out while distances are measured.
+FOLD = 4
 
 _LATIN = re.compile("[A-Za-z]")
 _TABLE = np.full(256, 32, np.uint8)
@@ -61,7 +63,9 @@ class CentroidModel:
         return normalised(np.log1p(counts) * self.idf)
 
     def predict(self, texts: list[str | None]) -> pd.DataFrame:
-        """``lang_pred, score, rejected`` of each text."""
+        """``lang_pred, score, rejected`` of each text; without a language all are ``und``."""
+        if not self.languages:
+            return pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "rejected": True})
         out = []
         for at in range(0, len(texts), 256):
             part = texts[at : at + 256]
@@ -100,18 +104,36 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return np.concatenate([mean, centres])
 
 
+def _centroids(vectors: np.ndarray, of: np.ndarray, languages: int, centroids: int) -> tuple[np.ndarray, np.ndarray]:
+    groups = [spherical_kmeans(vectors[of == k], centroids) if (of == k).any() else np.empty((0, vectors.shape[1]), np.float32) for k in range(languages)]
+    return np.concatenate(groups), np.repeat(np.arange(languages), [len(g) for g in groups])
+
+
+def least_cosines(vectors: np.ndarray, counts: np.ndarray, of: np.ndarray, languages: int, centroids: int) -> np.ndarray:
+    """Smallest cosine that is not rejected, by length class, from rows held out of the centroids."""
+    out = np.full(LENGTH_CLASSES, NOTHING)
+    away = np.arange(len(of)) % FOLD == 0
+    if away.all() or not away.any():
+        return out
+    centres, _ = _centroids(vectors[~away], of[~away], languages, centroids)
+    nearest, classes = (vectors[away] @ centres.T).max(1), length_class(counts[away].sum(1))
+    for c in range(LENGTH_CLASSES):
+        near = np.abs(classes - c) <= 1
+        if near.any():
+            out[c] = max(NOTHING, SLACK * float(nearest[near].min()))
+    return out
+
+
 def fit(languages: list[str], counts: np.ndarray, centroids: int = CENTROIDS) -> CentroidModel:
     seen = (counts > 0).sum(0)
     idf = (np.log((1 + len(counts)) / (1 + seen)) + 0.1).astype(np.float32)
     names = sorted(set(languages), key=lambda v: (-languages.count(v), v))
+    if not names:
+        return CentroidModel([], np.empty((0, DIMENSIONS), np.float32), np.empty(0, np.int64), idf, np.full(LENGTH_CLASSES, NOTHING))
     vectors = normalised(np.log1p(counts) * idf)
     of = np.array([names.index(v) for v in languages])
-    groups = [spherical_kmeans(vectors[of == k], centroids) for k in range(len(names))]
-    model = CentroidModel(names, np.concatenate(groups), np.repeat(np.arange(len(names)), [len(g) for g in groups]), idf, np.zeros(LENGTH_CLASSES))
-    long = counts.sum(1) >= SHORT
-    least = SLACK * float((vectors[long] @ model.centroids.T).max(1).min()) if long.any() else NOTHING
-    model.least = np.where(np.arange(LENGTH_CLASSES) < length_class(np.array([SHORT]))[0], NOTHING, least)
-    return model
+    centres, language_of = _centroids(vectors, of, len(names), centroids)
+    return CentroidModel(names, centres, language_of, idf, least_cosines(vectors, counts, of, len(names), centroids))
 
 
 def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> CentroidModel:
@@ -119,11 +141,13 @@ def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Ce
 
     About ``rows_per_language`` rows of each language with the smallest hashes are
     taken.  Counting trigrams is done where the rows are; the driver gets vectors.
+    Null labels and null texts are left out; without a labelled text that has a
+    letter the model knows no language, and all that it judges is ``und``.
     """
     labelled = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
-        raise ValueError("no labelled rows to learn from")
+        return fit([], np.empty((0, DIMENSIONS), np.float32))
     grain = 1 << 30
     most = F.coalesce(*(F.when(F.col("lang") == v, F.lit(min(grain, grain * rows_per_language // n))) for v, n in sizes.items()))
     taken = labelled.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(grain)) < most)
@@ -135,15 +159,13 @@ def train(labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE) -> Ce
                 if has_letter(text):
                     c = trigram_counts(text)
                     at = np.flatnonzero(c)
-                    rows.append((doc, lang, at.astype(np.uint16).tobytes(), np.minimum(c[at], 65_535).astype(np.uint16).tobytes()))
+                    rows.append((doc, lang, at.astype(np.uint16).tobytes(), c[at].astype(np.uint32).tobytes()))
             yield pd.DataFrame(rows, columns=["doc_id", "lang", "at", "n"])
 
     rows = sorted(taken.mapInPandas(counted, "doc_id long, lang string, at binary, n binary").collect(), key=lambda r: (r["lang"], r["doc_id"] or 0, r["at"]))
-    if not rows:
-        raise ValueError("no labelled row has a letter")
     counts = np.zeros((len(rows), DIMENSIONS), np.float32)
     for row, r in zip(counts, rows):
-        row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint16)
+        row[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.uint32)
     return fit([r["lang"] for r in rows], counts)
 
 
@@ -154,7 +176,7 @@ def with_language(docs: DataFrame, model: CentroidModel, text: str = "text") ->
     Others have a learned language, whatever their length; they are rejected if
     they are too far from every centroid for a text of their length.  Equal
     cosines go to the language with more training rows.  Repeated rows and other
-    columns stay; columns of these names are replaced.
+    columns stay; columns of these names are replaced.  An empty table gives no rows.
     """
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -174,4 +196,4 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = train(docs.where(~held_out()))
     found = with_language(docs.select("doc_id", "text"), model)
-    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
