@@ -49,13 +49,8 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with ``copies``, how often the mix takes them; those that it does not take go."""
-    docs = docs.select(*COLUMNS)
-    shares = mix(docs, word_count(F.col("text")))
-    shares = shares.select("doc_id", "row", "source_size", "target", F.when(F.col("size") > 0, F.col("taken") / F.col("size")).otherwise(0).cast("int").alias("copies"))
-    shares = shares.where("copies > 0").distinct().select(F.col("doc_id").alias("of"), "row", "source_size", "target", "copies")
-    row = F.xxhash64(*(F.col(f"`{c}`").cast("string") for c in COLUMNS))
-    joined = docs.withColumn("size", word_count(F.col("text"))).withColumn("__row", row).join(shares, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("__row") == F.col("row")))
-    return joined.select(*COLUMNS, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    docs = mix(docs.select(*COLUMNS), word_count(F.col("text"))).where("taken > 0")
+    return docs.select(*COLUMNS, "size", "source_size", "target", (F.col("taken") / F.col("size")).cast("int").alias("copies"), "taken")
 
 
 STAGES = [
