@@ -1,18 +1,18 @@
-"""Near-duplicates of a given shingle similarity, found by wide SimHash fingerprints.
-
-A similarity of 0.8 leaves about 15 % of fingerprint bits different, which is far
-more than a pigeonhole over blocks can find.  So fingerprints have 256 bits, and
-shards are keyed by sets of bits drawn at random: as many shards as would make
-independent bits meet with probability RECALL, of as many bits as keep a shard small.  In
-each shard a BK-tree holds the representatives found so far; a fingerprint within
-the radius of one links to the nearest, any other becomes a representative.  Links
-are then verified by the Jaccard similarity of the texts' shingles.
-
-The trees only join large groups cheaply; what they miss is found by an exact
-filter.  Sets as similar as that share one of the few shingles that come first in
-any common order, here from rare to frequent.  Documents that share one and are in
-different groups so far are compared, unless the places of the shingle rule a
-similar pair out; a shingle of many documents is dealt by pairs of blocks.
+"""Near-duplicates of a given shingle similarity: wide SimHash fingerprints, then an exact filter.
+
+Fingerprints have 256 bits, and shards are keyed by sets of bits drawn at random, of
+as many bits as keep a shard small.  In each shard a BK-tree holds the
+representatives found so far; a fingerprint within the radius of one links to the
+nearest, any other becomes a representative.  A shard of very many is dealt to
+several trees, whose representatives meet in one tree more.  Links are then verified
+by the Jaccard similarity of the texts' whole sets of shingles.
+
+The trees join large groups cheaply and need not find every pair: what they miss is
+found by an exact filter.  Sets as similar as that share one of the few shingles
+that come first in any common order, here from rare to frequent.  Documents that
+share one and are in different groups so far are compared, unless the places of the
+shingle rule a similar pair out; a shingle of many documents is dealt by pairs of
+blocks, and one whose documents are all in one group is left out.
 """
 
 from __future__ import annotations
@@ -30,8 +30,12 @@ from .common import materialize
 from .components import components
 from .simhash import shingle_hashes
 
-WORDS, SIMILARITY, RECALL = 5, 0.8, 0.97
+WORDS, SIMILARITY = 5, 0.8
 BITS = 256
+#: Sets of bits that key shards: more of them leave less to the exact filter, the result is the same.
+BANDS = 16
+#: Fingerprints that one tree is given, about; a shard of more is dealt to several trees.
+TREE_ROWS = 32_768
 #: Differing bits among the first 64 up to which fingerprints link in a tree: 3.6 standard deviations.
 RADIUS = 20
 #: Documents from which the order of shingles is drawn, about, and frequent shingles kept; any
@@ -39,7 +43,8 @@ RADIUS = 20
 ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Documents of a shingle above which they are dealt by pairs of blocks.
 BLOCK = 1024
-NO_DOC = (1 << 63) - 1
+#: Pairs that the filter looks at together.
+CHUNK_PAIRS = 1_000_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -82,12 +87,11 @@ def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity:
     return short[np.lexsort((hashes, frequency))[:first]]
 
 
-def signature(text: str | None, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, similarity: float = SIMILARITY) -> tuple[int, bytes, int, bytes]:
-    """Hash of the word sequence, wide fingerprint, number of distinct shingles, first tokens."""
+def signature(text: str | None, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, similarity: float = SIMILARITY) -> tuple[bytes, bytes, int, bytes]:
+    """128 bits of hash of the word sequence, wide fingerprint, number of distinct shingles, first tokens."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    same = xxhash.xxh64_intdigest(b" ".join(found)) - (1 << 63)
     hashes = np.unique(shingle_hashes(text, words))
-    return same, wide_fingerprint(hashes), len(hashes), prefix(hashes, often, similarity).tobytes()
+    return xxhash.xxh3_128_digest(b" ".join(found)), wide_fingerprint(hashes), len(hashes), prefix(hashes, often, similarity).tobytes()
 
 
 def jaccard(a: bytes, na: int, b: bytes, nb: int) -> float:
@@ -97,12 +101,9 @@ def jaccard(a: bytes, na: int, b: bytes, nb: int) -> float:
     return both / max(1, na + nb - both)
 
 
-def bands(rows: int, similarity: float = SIMILARITY, recall: float = RECALL) -> np.ndarray:
-    """Sets of bits that key shards, one per row; more and wider ones for more documents."""
-    cosine = 2 * similarity / (1 + similarity)
-    agree = 1 - math.acos(cosine) / math.pi
-    width = max(16, math.ceil(math.log2(max(rows, 1))) - 2)
-    n = math.ceil(math.log(1 - recall) / math.log(1 - agree**width))
+def bands(rows: int, n: int = BANDS) -> np.ndarray:
+    """Sets of bits that key shards, one per row; wider ones for more documents."""
+    width = min(40, max(16, math.ceil(math.log2(max(rows, 1))) - 2))
     rng = np.random.default_rng(7)
     return np.stack([np.sort(rng.choice(BITS, width, replace=False)) for _ in range(n)])
 
@@ -135,27 +136,36 @@ class Representatives:
         at[2][d] = (value, node, {})
 
 
-def shard_links(dealt: DataFrame, radius: int) -> DataFrame:
-    """Links ``node, other`` of ``dealt(key, node, fp)``; only representatives are held."""
+def _tree_links(dealt: DataFrame, radius: int) -> DataFrame:
+    """``key, node, fp, other`` of ``dealt(key, tree, node, fp)``: the nearest representative, of a representative itself."""
 
     def linked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mask = (1 << 64) - 1
         current, tree = None, Representatives()
         for frame in frames:
-            links = []
-            for key, node, fp in zip(frame["key"].tolist(), frame["node"].tolist(), frame["fp"].tolist()):
-                if key != current:
-                    current, tree = key, Representatives()
+            others = []
+            for key, part, node, fp in zip(*(frame[c].tolist() for c in ("key", "tree", "node", "fp"))):
+                if (key, part) != current:
+                    current, tree = (key, part), Representatives()
                 near = tree.nearest(fp & mask, radius)
                 if near is None:
                     tree.add(fp & mask, node)
-                else:
-                    links.append((node, near[1]))
-            yield pd.DataFrame(links, columns=["node", "other"]).astype("int64")
+                others.append(node if near is None else near[1])
+            yield frame[["key", "node", "fp"]].assign(other=np.array(others, np.int64))
 
     # in another order in each shard, so that representatives differ
-    by_shard = dealt.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
-    return by_shard.select("key", "node", "fp").mapInPandas(linked, "node long, other long")
+    by_tree = dealt.repartition("key", "tree").sortWithinPartitions("key", "tree", F.xxhash64("key", "node"))
+    return by_tree.select("key", "tree", "node", "fp").mapInPandas(linked, "key long, node long, fp long, other long")
+
+
+def shard_links(dealt: DataFrame, radius: int, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """Links ``node, other`` of ``dealt(key, node, fp)``; only representatives are held."""
+    large = F.broadcast(dealt.groupBy("key").count().where(F.col("count") > tree_rows))  # at most rows / tree_rows keys a band
+    dealt = dealt.join(large, "key", "left")
+    tree = F.coalesce(F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("count") / tree_rows)), F.lit(0)).cast("long")
+    links = materialize(_tree_links(dealt.withColumn("tree", tree), radius), "trees")
+    heads = links.where("node = other").join(large.select("key"), "key", "left_semi").withColumn("tree", F.lit(0).cast("long"))
+    return links.union(_tree_links(heads, radius)).where("node != other").select("node", "other")
 
 
 def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -176,39 +186,41 @@ def frequent_shingles(docs: DataFrame, text: str, words: int) -> tuple[np.ndarra
 
 def filtered_pairs(rows: pd.DataFrame, similarity: float) -> Iterator[pd.DataFrame]:
     """Pairs ``node, other`` of ``rows`` sorted by cell that may be similar: whole cells, pairs of different groups only."""
+    rows = rows.sort_values(["cell", "group"], kind="stable", ignore_index=True)
     cell, node, group, n, pos, block = (rows[c].to_numpy() for c in ("cell", "node", "group", "n", "pos", "block"))
     mixed = rows["mixed"].to_numpy()
-    end = np.searchsorted(cell, cell, side="right")
-    found, held = [], 0
-    at, shift = np.arange(len(rows)), 1
-    while len(at := at[at + shift < end[at]]):
-        to = at + shift
-        fits = (group[at] != group[to]) & (~mixed[at] | (block[at] != block[to]))
+    edge = np.concatenate(([True], (cell[1:] != cell[:-1]) | (group[1:] != group[:-1])))
+    begin = np.flatnonzero(edge)
+    # a row meets what comes after its group in its cell
+    first = np.append(begin[1:], len(rows))[np.cumsum(edge) - 1]
+    total = np.cumsum(np.searchsorted(cell, cell, side="right") - first)
+    at = 0
+    while at < len(rows):
+        done = total[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(total, done + CHUNK_PAIRS, side="right")))
+        sizes = np.diff(total[at:end], prepend=done)
+        a = np.repeat(np.arange(at, end), sizes)
+        b = np.arange(len(a)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + first[a]
         # if this is the first shingle that both have, they share no more than the rest of either
-        fits &= np.minimum(n[at] - pos[at], n[to] - pos[to]) >= least_shared(n[at] + n[to], similarity)
-        a, b = node[at[fits]], node[to[fits]]
-        found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], 1))
-        held += len(a)
-        if held > 100_000:
-            yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["node", "other"])
-            found, held = [], 0
-        shift += 1
-    if held:
-        yield pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["node", "other"])
+        fits = (~mixed[a] | (block[a] != block[b])) & (np.minimum(n[a] - pos[a], n[b] - pos[b]) >= least_shared(n[a] + n[b], similarity))
+        x, y = node[a[fits]], node[b[fits]]
+        if len(x):
+            yield pd.DataFrame(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], 1), axis=0), columns=["node", "other"])
+        at = end
 
 
-def prefix_pairs(firsts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """Distinct ``node, other`` of ``firsts(node, n, first)`` that may be similar and have different ``roots(node, root)``."""
+def prefix_pairs(firsts: DataFrame, similarity: float) -> DataFrame:
+    """Distinct ``node, other`` of ``firsts(node, group, n, first)`` that may be similar and have different groups."""
 
     @F.pandas_udf("array<long>")
     def unpacked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for firsts in batches:
             yield pd.Series([np.frombuffer(f, np.uint32).astype(np.int64) for f in firsts], dtype=object)
 
-    dealt = firsts.where("n > 0").select("node", "n", F.posexplode(unpacked("first")).alias("pos", "token"))
-    counts = materialize(dealt.groupBy("token").count().where("count > 1"), "tokens")
-    shared = dealt.join(counts, "token").join(roots, "node", "left")
-    shared = materialize(shared.select("token", "count", "node", F.coalesce("root", "node").alias("group"), "n", "pos"), "shared")
+    dealt = firsts.where("n > 0").select("node", "group", "n", F.posexplode(unpacked("first")).alias("pos", "token"))
+    tokens = dealt.groupBy("token").agg(F.count("*").alias("count"), F.min("group").alias("least"), F.max("group").alias("most"))
+    tokens = materialize(tokens.where("least != most").select("token", "count"), "tokens")
+    shared = materialize(dealt.join(tokens, "token").select("token", "count", "node", "group", "n", "pos"), "shared")
     # every pair of blocks is a cell, so that all of a frequent shingle's documents still meet
     blocks = F.ceil(F.col("count") / BLOCK)
     cut = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "token"), F.col("blocks")))
@@ -223,7 +235,8 @@ def prefix_pairs(firsts: DataFrame, roots: DataFrame, similarity: float) -> Data
             if not len(rows):
                 continue
             last = int(np.searchsorted(rows["cell"].to_numpy(), rows["cell"].iloc[-1]))
-            yield from filtered_pairs(rows.iloc[:last], similarity)
+            if last:
+                yield from filtered_pairs(rows.iloc[:last], similarity)
             rest = rows.iloc[last:]
         if rest is not None:
             yield from filtered_pairs(rest, similarity)
@@ -238,22 +251,26 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     or if the Jaccard similarity of their sets of shingles is at least
     ``similarity``.  A text of fewer words than a
     shingle is one shingle.  Null and empty texts are the same text.  Rows that
-    repeat a doc_id are one document.  A null doc_id is never the smallest,
-    connects nothing, and has a null component if all in it are null.  An empty table gives no rows.
+    repeat a doc_id are one document.  A row without a doc_id links by its text
+    like any other, is never the smallest, and has a null component if all in it
+    are without.  Texts are compared whole at any length.  Other columns are not
+    read; an empty table gives no rows.
     """
-
     often = frequent_shingles(docs, text, words)
 
-    @F.pandas_udf("same long, wide binary, n int, first binary")
+    @F.pandas_udf("same binary, wide binary, n int, first binary")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
             yield pd.DataFrame([signature(t, often, words, similarity) for t in texts], columns=["same", "wide", "n", "first"])
 
-    none = F.lit(NO_DOC)
-    signs = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("doc_id"), signed(F.col(text)).alias("s"))
-    signs = materialize(signs.select("doc_id", "s.*"), "signs")
-    firsts = materialize(signs.groupBy("same").agg(F.min("doc_id").alias("node"), F.first("wide").alias("wide"), F.max("n").alias("n"), F.first("first").alias("first")), "firsts")
-    chosen = bands(firsts.count(), similarity)
+    # rows have a number, once written: a class of equal texts is the number of one of its rows
+    signs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    signs = signs.select("doc_id", "text", signed(F.col("text")).alias("s"), F.monotonically_increasing_id().alias("row"))
+    signs = materialize(signs.select("doc_id", "text", "row", "s.*"), "signs")
+    classes = signs.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
+    classes = materialize(classes, "classes")
+    firsts = materialize(signs.select(F.col("row").alias("node"), "wide", "n", "first").join(classes.select("node"), "node", "left_semi"), "firsts")
+    chosen = bands(classes.count())
 
     @F.pandas_udf("fp long, keys array<long>")
     def keyed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -265,8 +282,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             yield pd.DataFrame({"fp": np.ascontiguousarray(raw[:, :8]).view(np.int64).reshape(-1), "keys": list(keys)})
 
     dealt = firsts.where("n > 0").select("node", keyed("wide").alias("k"))
-    dealt = dealt.select("node", F.col("k.fp").alias("fp"), F.explode("k.keys").alias("key"))
-    links = materialize(shard_links(dealt, RADIUS).where("node != other").select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct(), "links")
+    dealt = materialize(dealt.select("node", F.col("k.fp").alias("fp"), F.explode("k.keys").alias("key")), "dealt")
+    links = materialize(shard_links(dealt, RADIUS).select(F.least("node", "other").alias("node"), F.greatest("node", "other").alias("other")).distinct(), "links")
 
     @F.pandas_udf("double")
     def compared(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
@@ -279,20 +296,24 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of at least the similarity, by the whole sets of the documents in ``pairs`` only."""
-        linked = pairs.select(F.explode(F.array("node", "other")).alias("id")).distinct()
-        texts = docs.select(F.coalesce(F.col(doc_id).cast("long"), none).alias("id"), F.col(text).alias("text")).join(linked, "id", "left_semi")
-        sets = materialize(texts.select("id", hashed("text").alias("set")).withColumn("n", (F.length("set") / 8).cast("int")), "sets")
-        left = sets.select(F.col("id").alias("node"), F.col("set").alias("a"), F.col("n").alias("na"))
-        right = sets.select(F.col("id").alias("other"), F.col("set").alias("b"), F.col("n").alias("nb"))
+        linked = pairs.select(F.explode(F.array("node", "other")).alias("row")).distinct()
+        texts = signs.select("row", "text").join(linked, "row", "left_semi")
+        sets = materialize(texts.select("row", hashed("text").alias("set")).withColumn("n", (F.length("set") / 8).cast("int")), "sets")
+        left = sets.select(F.col("row").alias("node"), F.col("set").alias("a"), F.col("n").alias("na"))
+        right = sets.select(F.col("row").alias("other"), F.col("set").alias("b"), F.col("n").alias("nb"))
         found = pairs.join(left, "node").join(right, "other").where(compared("a", "na", "b", "nb") >= similarity)
         return materialize(found.select("node", "other").distinct(), "verified")
 
     near = components(verified(links))
-    pairs = materialize(prefix_pairs(firsts.select("node", "n", "first"), near, similarity), "pairs")
+    grouped = firsts.join(near, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "n", "first")
+    pairs = materialize(prefix_pairs(grouped, similarity), "pairs")
     # rows that repeat a doc_id connect what they are copies of
-    twice = signs.groupBy("doc_id").agg(F.count_distinct("same").alias("n")).where((F.col("n") > 1) & (F.col("doc_id") != none)).select("doc_id")
-    again = signs.select("doc_id", "same").join(twice, "doc_id", "left_semi").join(firsts.select("same", "node"), "same")
-    roots = components(near.select("node", F.col("root").alias("other")).union(verified(pairs)).union(again.select("doc_id", "node")))
-    classes = firsts.select("same", "node").join(roots, "node", "left").select("same", F.coalesce("root", "node").alias("component_id"))
-    found = signs.select("doc_id", "same").join(materialize(classes, "classes"), "same")
-    return found.select(F.nullif("doc_id", none).alias("doc_id"), F.nullif("component_id", none).alias("component_id"))
+    owned = signs.where("doc_id IS NOT NULL").select("doc_id", "same")
+    twice = owned.groupBy("doc_id").agg(F.count_distinct("same").alias("n")).where("n > 1").select("doc_id")
+    again = owned.join(twice, "doc_id", "left_semi").join(classes, "same").select("doc_id", "node")
+    again = again.join(again.groupBy("doc_id").agg(F.min("node").alias("other")), "doc_id").select("node", "other")
+    roots = components(near.select("node", F.col("root").alias("other")).union(verified(pairs)).union(again))
+    rooted = classes.join(roots, "node", "left").select("same", "least", F.coalesce("root", "node").alias("root"))
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    of_class = materialize(rooted.join(least, "root").select("same", "component_id"), "components")
+    return signs.select("doc_id", "same").join(of_class, "same").select("doc_id", "component_id")

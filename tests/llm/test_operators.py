@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import duckdb
@@ -171,7 +172,31 @@ def test_jaccard_and_bands():
     a, b = (np.sort(np.array(x, np.uint32)).tobytes() for x in ([1, 2, 3, 4], [3, 4, 5]))
     assert simhash_similar.jaccard(a, 4, b, 3) == 2 / 5
     few, many = simhash_similar.bands(1000), simhash_similar.bands(10_000_000)
-    assert few.shape[1] == 16 and many.shape[1] > 16 and len(many) > len(few)
+    assert few.shape[1] == 16 and many.shape[1] > 16 and len(many) == len(few) == simhash_similar.BANDS
+
+
+def test_rows_without_ids_connect_nothing_unrelated(spark):
+    rng = random.Random(20)
+    a, b = ([f"w{rng.getrandbits(30)}" for _ in range(80)] for _ in range(2))
+    rows = [(5, " ".join(a)), (9, " ".join(b)), (None, " ".join([*a[:-1], "other"])), (None, " ".join([*b[:-1], "other"])), (None, "alone")]
+    for f in (simhash_similar.similar_documents, simhash.near_duplicates):
+        got = {(r.doc_id, r.component_id) for r in f(documents(spark, rows)).collect()}
+        assert {(5, 5), (9, 9), (None, None)} <= got and (9, 5) not in got
+    got = simhash_similar.similar_documents(documents(spark, rows)).collect()
+    assert Counter(r.component_id for r in got) == {5: 2, 9: 2, None: 1}
+    links = simhash.fingerprint_links(spark.createDataFrame([(0, 0), (1, 1), (-1, -1), (-2, -2)], "fp long, node long"))
+    assert {(r.node, r.root) for r in components.components(links).collect()} == {(1, 0), (-1, -2)}
+
+
+def test_shards_of_many_are_dealt_to_several_trees(spark):
+    rng = random.Random(21)
+    prints = [rng.getrandbits(63) for _ in range(5)]
+    rows = [(0, n, prints[n % 5] ^ (1 << rng.randrange(60))) for n in range(500)]
+    links = simhash_similar.shard_links(spark.createDataFrame(rows, "key long, node long, fp long"), 20, tree_rows=40)
+    groups = defaultdict(set)
+    for r in components.components(links).collect():
+        groups[r.root].add(r.node % 5)
+    assert len(groups) == 5 and all(len(g) == 1 for g in groups.values())
 
 
 def test_components(spark):
@@ -191,7 +216,7 @@ def test_components(spark):
 @pytest.mark.parametrize("name", list(registry.ORACLE_SQL))
 def test_sql_gives_the_same(spark, name):
     c = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "benchmark"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     df = registry.QUERIES[name](spark, SF)
     found = c.sql(registry.ORACLE_SQL[name])
@@ -425,6 +450,16 @@ def test_overlaps_of_awkward_rows(spark, docs, empty):
     assert decontamination.with_overlaps(empty, benchmark).count() == 0
 
 
+def test_overlaps_of_repeated_words():
+    block = decontamination.SeedBlock([(n, "same " * 200) for n in range(20)] + [(20, "a b c d e f g h i j k l m " * 10), (21, "x y " * 100)])
+    began = time.process_time()
+    assert block.overlaps("same " * 3000) == {n: 13 for n in range(20)}
+    assert block.overlaps("x y " * 1500) == {21: 13}
+    assert block.overlaps("x y x z " * 700) == {}
+    assert block.overlaps("x y x y x y x z x y x y x q " * 200) == {21: 12}
+    assert time.process_time() - began < 2
+
+
 # 9
 
 
@@ -447,8 +482,25 @@ def test_language_of_awkward_rows(spark, docs, empty):
     assert all(out[i].rejected for i in (1, 2, 3, 6)) and not any(out[i].rejected for i in (4, 5))
     assert out[6].lang_pred in ("en", "de") and out[1].score == 0
     assert language_id.with_language(empty, model).count() == 0 and language_id.with_language(docs, model).count() == len(AWKWARD)
-    with pytest.raises(ValueError):
-        language_id.train(empty)
+    clashing = docs.withColumnsRenamed({"lang": "lang_pred", "row": "rejected"})
+    assert language_id.with_language(clashing, model).columns.count("rejected") == 1
+    for nothing in (language_id.train(empty), language_id.train(docs.where("text IS NULL"))):
+        assert {(r.lang_pred, r.score, r.rejected) for r in language_id.with_language(docs, nothing).collect()} == {("und", 0.0, True)}
+
+
+def test_language_by_brute_force(spark):
+    rng = random.Random(19)
+    rows = [(n, " ".join(rng.choice(["the", "dog", "walks"] if n % 2 else ["der", "hund", "geht"]) for _ in range(30)), "en" if n % 2 else "de") for n in range(60)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    for _, text, _ in rows[:10]:
+        v = np.log1p(language_id.trigram_counts(text)) * model.idf
+        cosines = model.centroids @ (v / np.linalg.norm(v))
+        got = model.predict([text]).iloc[0]
+        assert got.lang_pred == model.languages[model.language_of[int(np.argmax(cosines))]] and abs(got.score - min(1, cosines.max())) < 1e-5
+    raw = b" " + b"the dog" + b" "
+    grams = Counter(raw[i : i + 3] for i in range(len(raw) - 2))
+    assert language_id.trigram_counts("the dog").sum() == sum(grams.values())
+    assert language_id.trigram_counts("ab" * 100_000).max() > 65_535
 
 
 # 10

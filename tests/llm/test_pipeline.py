@@ -60,3 +60,21 @@ def test_language_stage_learns_alphabets_other_than_latin(spark):
     assert {r.doc_id: r.lang for r in stage(spark, made(spark, rows), SF).collect()} == {n: lang for n, _, lang in rows[:60]}
     rows += [(n, " ".join(rng.choice(["the", "street", "word", "book", "time"]) for _ in range(40)), "en") for n in range(200, 230)]
     assert {r.doc_id: r.lang for r in stage(spark, made(spark, rows), SF).collect()} == {n: lang for n, _, lang in rows if n not in (100, 101)}
+
+
+def test_mixing_keeps_equal_rows_single(spark):
+    rows = [(1, "twelve words " * 6, "en", "s", 1)] * 4 + [(2, "a b", "en", "t", 1), (None, "c d", None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.mixed(spark, docs, SF)
+    got = [r for r in out.collect() if r.source == "s"]
+    assert len(got) <= 4 and sum(r.taken for r in got) <= got[0].target + 6
+
+
+def test_stages_keep_rows_without_ids(spark):
+    rng = random.Random(3)
+    text = [" ".join(f"w{rng.getrandbits(30)}" for _ in range(60)) for _ in range(3)]
+    docs = made(spark, [(5, text[0], "en"), (9, text[1], "en"), (None, text[0], "en"), (None, text[1], "en"), (None, text[2], "en")])
+    stage = dict(corpus_pipeline.STAGES)
+    assert stage["simhash_near_dedup"](spark, docs, SF).count() == 5
+    for name in ("line_dedup", "benchmark_decontamination"):
+        assert stage[name](spark, docs, SF).count() == 5
