@@ -63,15 +63,21 @@ def aggregate_lines(
     if timeout_ms and at:
         pause = F.col(at).cast("timestamp").cast("double") - F.lag(F.col(at).cast("timestamp").cast("double")).over(by)
         begins = F.greatest(begins, F.coalesce((pause * 1000 >= timeout_ms).cast("int"), F.lit(0)))
-    rows = rows.withColumn("__begins", begins)
-    rows = rows.withColumn("__record", F.sum("__begins").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumns({"__begins": begins, "__bytes": F.octet_length("__line") + 1})
+    running = by.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({"__record": F.sum("__begins").over(running), "__from": F.sum("__bytes").over(running) - F.col("__bytes")})
+    # where a line stands in its record: what lies above max_bytes is never gathered
+    base = F.coalesce(F.max(F.when(F.col("__begins") == 1, F.col("__from"))).over(running), F.lit(0))
+    rows = rows.withColumn("__from", F.col("__from") - base)
     if mode == "stanza":
         rows = rows.where("__line != ''")
-    joined = rows.groupBy(stream, "__record").agg(F.min(order).alias("line_no"), F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("__line").alias("l")))).alias("parts"))
+    part = F.when(F.col("__from") <= max_bytes, F.struct(F.col(order).alias("o"), F.col("__line").alias("l")))
+    size = F.max(F.col("__from") + F.col("__bytes")) - 1
+    joined = rows.groupBy(stream, "__record").agg(F.min(order).alias("line_no"), F.array_sort(F.collect_list(part)).alias("parts"), size.alias("size"))
     text = F.array_join(F.transform("parts", lambda p: p["l"]), "\n")
     return joined.select(
         F.col(stream).alias("stream"),
         "line_no",
-        F.when(F.octet_length(text) > max_bytes, F.make_valid_utf8(F.substr(F.encode(text, "UTF-8"), F.lit(1), F.lit(max_bytes)).cast("string"))).otherwise(text).alias("value"),
-        (F.octet_length(text) > max_bytes).alias("truncated"),
+        F.when(F.col("size") > max_bytes, F.make_valid_utf8(F.substr(F.encode(text, "UTF-8"), F.lit(1), F.lit(max_bytes)).cast("string"))).otherwise(text).alias("value"),
+        (F.col("size") > max_bytes).alias("truncated"),
     )
