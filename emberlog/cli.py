@@ -13,8 +13,8 @@ from pyspark.sql import SparkSession
 from .plans.config import ConfigError, load_config
 from .plans.graph import Pipeline
 from .sql.errors import SqlError
-from .streaming.runner import start
-from .streaming.supervisor import supervise
+from .streaming.runner import finish, start
+from .streaming.supervisor import RestartPolicy, supervise
 
 log = logging.getLogger("emberlog")
 
@@ -42,15 +42,20 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     except (OSError, ConfigError, SqlError) as e:
         log.error("%s", e)
         return 1
+    for name in config.without_effect():
+        log.warning("%s is checked but has no effect on Spark", name)
     if args.command == "check":
         print("Configuration OK")
         return 0
     spark = spark or SparkSession.builder.appName("emberlog").getOrCreate()
+    if not args.checkpoint and not spark.sparkContext.master.startswith("local"):
+        log.error("on a cluster, --checkpoint must name a shared folder")
+        return 1
     checkpoint = args.checkpoint or tempfile.mkdtemp(prefix="emberlog-")
-    ended = {"now": False}
+    ended, policy = {"now": False}, RestartPolicy()
 
     def run() -> None:
-        query = start(spark, config, checkpoint, dict(p.split("=", 1) for p in args.path), args.once, args.max_batches)
+        query = start(spark, config, checkpoint, dict(p.split("=", 1) for p in args.path), args.once, args.max_batches, on_batch=policy.succeeded)
 
         def stop(*_) -> None:
             ended["now"] = True
@@ -61,10 +66,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 signal.signal(s, stop)
             except ValueError:  # not in the main thread
                 pass
-        query.awaitTermination()
+        finish(query)
 
     try:
-        supervise(run, stop=lambda: ended["now"])
+        supervise(run, policy, stop=lambda: ended["now"])
     except Exception as e:
         log.error("%s", e)
         return 1

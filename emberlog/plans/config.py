@@ -65,6 +65,7 @@ class StdinSource:
     allow_invalid_utf8: bool = False
     on_decode_error: str = "as_text"
     json_message_key: str = "message"
+    given: tuple[str, ...] = ()  # names of the settings that the configuration holds
 
     CHOICES = {
         "codec": ("text", "ndjson", "raw"),
@@ -131,6 +132,11 @@ class PipelineConfig:
         self.order()
         return self
 
+    def without_effect(self) -> list[str]:
+        """Settings that are read and checked, but for which Spark has its own ways: tasks, pulls and chunks."""
+        out = [f"{n.id}.{k}" for n in self.nodes if n.role != "source" for k, d in (("parallelism", 1), ("queue_capacity", 1024), ("queue_strategy", "reject")) if getattr(n, k) != d]
+        return out + [f"{n.id}.{k}" for n in self.of("source") for k in getattr(n.source, "given", ()) if k in ("read_buffer_bytes", "max_batch_size")]
+
     def order(self) -> list[Node]:
         """Components so that each comes after what it reads."""
         from graphlib import CycleError, TopologicalSorter
@@ -164,8 +170,9 @@ def source_settings(table: dict) -> tuple[str, SyslogSource | StdinSource]:
         raise ConfigError("UnsupportedSource", str(kind))
     cls = SOURCES[kind]
     known = {f.name: f for f in fields(cls)}
+    named = tuple(given)
     for key, value in given.items():
-        if key not in known:
+        if key not in known or key == "given":
             raise ConfigError("UnknownField", key)
         wanted = known[key].type
         if "tuple" in wanted:
@@ -185,7 +192,7 @@ def source_settings(table: dict) -> tuple[str, SyslogSource | StdinSource]:
             raise ConfigError("InvalidValue", f"{key} = {value}")
     if cls is SyslogSource and "address" not in given:
         raise ConfigError("MissingField", "address")
-    out = cls(**given)
+    out = cls(**given, **({"given": named} if "given" in known else {}))
     if out.rate_limit_burst is not None and out.rate_limit_per_sec is None:
         raise ConfigError("InvalidValue", "rate_limit_burst without rate_limit_per_sec")
     out.validate()

@@ -12,7 +12,7 @@ from ..sources.limits import allowed
 from ..sources.multiline import aggregate_lines
 from ..sources.syslog import parse_syslog
 from ..sources.text import decode_ndjson, decode_raw, decode_text, infer_ndjson_schema
-from .config import Node, PipelineConfig, StdinSource, SyslogSource
+from .config import ConfigError, Node, PipelineConfig, StdinSource, SyslogSource
 from .query import Query, compile_sql
 
 
@@ -20,10 +20,16 @@ def decode(settings: SyslogSource | StdinSource, lines: DataFrame, source_id: st
     """Events of a source's lines ``value [, peer_address, protocol, truncated, stream, line_no]``."""
     if isinstance(settings, SyslogSource):
         if settings.allowed_peers:
+            if "peer_address" not in lines.columns:
+                raise ConfigError("InvalidValue", "allowed_peers needs lines with a peer_address, which files have not")
             lines = lines.where(allowed("peer_address", list(settings.allowed_peers)))
         return parse_syslog(lines, mode=settings.parser)
+    received = "received_at" in lines.columns
     if settings.multiline_mode != "disabled":
-        lines = aggregate_lines(lines, settings.multiline_mode, settings.multiline_start_pattern, settings.multiline_max_bytes)
+        at = "at" if "at" in lines.columns else None
+        lines = aggregate_lines(lines, settings.multiline_mode, settings.multiline_start_pattern, settings.multiline_max_bytes, settings.multiline_timeout_ms if at else 0, at=at)
+        if received:
+            lines = lines.withColumn("received_at", F.current_timestamp())
     if settings.codec == "raw":
         return decode_raw(lines, include_source=settings.include_source_field, source_id=source_id)
     if settings.codec == "ndjson":

@@ -75,6 +75,14 @@ class TokenBucket:
         self.tokens -= 1
         return True
 
+    def take_up_to(self, n: int, now: float) -> int:
+        """How many of ``n`` events that come at once pass."""
+        if n < 1 or not self.take(now):
+            return 0
+        more = int(min(n - 1, self.tokens))
+        self.tokens -= more
+        return 1 + more
+
 
 def rate_limited(events: DataFrame, rate: float, burst: float | None = None, stream: str = "stream", at: str = "at", order: str | None = None) -> DataFrame:
     """The events that a bucket per stream lets pass, replayed in order of arrival.

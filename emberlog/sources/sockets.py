@@ -54,6 +54,11 @@ class Listener:
             self.socket.listen()
         self.selector.register(self.socket, selectors.EVENT_READ)
         self.open: dict[socket.socket, tuple[str, Framer]] = {}
+        keepalive = options.get("tcp_keepalive_seconds")
+        self.keepalive = int(keepalive) if keepalive else None
+        #: Bytes in the queue above which connections are not read, and below which they are again.
+        self.high, self.low = int(options.get("tcp_high_watermark", 256 * 1024)), int(options.get("tcp_low_watermark", 128 * 1024))
+        self.waiting, self.paused = 0, False
 
     def poll(self, seconds: float = 0.0) -> list[tuple]:
         """Rows of all that has arrived, up to what the queue holds."""
@@ -62,13 +67,34 @@ class Listener:
             ready = self.selector.select(max(0.0, until - time.monotonic()) if not self.queue.items else 0)
             for key, _ in ready:
                 self._datagrams() if self.transport == "udp" else self._accept() if key.fileobj is self.socket else self._receive(key.fileobj)
-            if not ready or len(self.queue.items) >= self.queue.capacity:
-                return self.queue.drain()
+            if not ready or self.paused or len(self.queue.items) >= self.queue.capacity:
+                return self.drain()
+
+    def drain(self, most: int | None = None) -> list[tuple]:
+        rows = self.queue.drain(most)
+        self.waiting -= sum(len(r[0]) for r in rows)
+        if self.paused and self.waiting <= self.low:
+            self.paused = False
+            for connection in self.open:
+                self.selector.register(connection, selectors.EVENT_READ)
+        return rows
 
     def _keep(self, frames, peer: str) -> None:
         if frames and (self.bucket is None or self.bucket.take(time.monotonic())):
             for data, cut in frames:
-                self.queue.push((data, peer, self.transport, cut))
+                before = sum(len(r[0]) for r in self.queue.items) if len(self.queue.items) >= self.queue.capacity else None
+                try:
+                    kept = self.queue.push((data, peer, self.transport, cut))
+                except OverflowError:
+                    continue  # counted by the queue
+                if before is not None:  # the oldest went
+                    self.waiting = sum(len(r[0]) for r in self.queue.items)
+                elif kept:
+                    self.waiting += len(data)
+        if self.transport == "tcp" and not self.paused and self.waiting >= self.high:
+            self.paused = True
+            for connection in self.open:
+                self.selector.unregister(connection)
 
     def _datagrams(self) -> None:
         try:
@@ -86,8 +112,12 @@ class Listener:
             connection.close()
             return
         connection.setblocking(False)
+        if self.keepalive:
+            connection.setsockopt(socket.SOL_SOCKET, socket.SO_KEEPALIVE, 1)
+            connection.setsockopt(socket.IPPROTO_TCP, socket.TCP_KEEPIDLE, self.keepalive)
         self.open[connection] = (f"{peer[0]}:{peer[1]}", Framer("auto", self.limit))
-        self.selector.register(connection, selectors.EVENT_READ)
+        if not self.paused:
+            self.selector.register(connection, selectors.EVENT_READ)
 
     def _receive(self, connection: socket.socket) -> None:
         peer, framer = self.open[connection]
@@ -102,7 +132,8 @@ class Listener:
             return
         if self.flush_partial:
             self._keep(framer.finish(), peer)
-        self.selector.unregister(connection)
+        if not self.paused:
+            self.selector.unregister(connection)
         connection.close()
         del self.open[connection]
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 import time
 from collections import deque
 from collections.abc import Callable
@@ -13,8 +14,11 @@ PERMANENT = ("ConfigError", "SqlError", "LexError", "UnexpectedToken", "Expected
 
 
 def permanent(error: BaseException) -> bool:
+    """Whether the error, its cause, or what a stream's own exception tells of, is one of those."""
     names = {c.__name__ for c in type(error).__mro__}
-    return bool(names & set(PERMANENT))
+    if "StreamingQueryException" in names:
+        names |= set(re.findall(r"\b[A-Z]\w+\b", str(error)))
+    return bool(names & set(PERMANENT)) or (error.__cause__ is not None and permanent(error.__cause__))
 
 
 @dataclass
