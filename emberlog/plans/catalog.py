@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.events import META
 from ..sinks.console import console_lines
+from ..sources.framing import frame_chunks
 from ..sources.limits import allowed, bounded, rate_limited
 from ..sources.multiline import aggregate_lines
 from ..sources.syslog import parse_syslog
@@ -178,6 +179,39 @@ def syslog_auto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_sql("SELECT syslog_format AS format, COUNT(*) AS n FROM logs GROUP BY syslog_format").apply(syslog(spark, sf_dir))
 
 
+@query(
+    "syslog_long_data",
+    "WITH made AS (SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN '[a@1 k=\"' || repeat('y', 10000) || '\"]' "
+    "WHEN 1 THEN repeat('[b@1 k=\"v\\\"]\"]', s_suppkey % 40 * 20 + 1) ELSE repeat('[c [d] \"]\"]', s_suppkey % 30 * 20 + 1) END AS data FROM supplier) "
+    "SELECT 'host' || s_suppkey AS host, data, 'said ' || s_suppkey AS message FROM made",
+)
+def syslog_long_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured data of thousands of characters, elements and nested brackets."""
+    k = F.col("s_suppkey")
+    letters = F.concat(F.lit('[a@1 k="'), F.repeat(F.lit("y"), F.lit(10_000)), F.lit('"]'))
+    quoted = F.repeat(F.lit('[b@1 k="v\\"]"]'), (k % 40 * 20 + 1).cast("int"))
+    nested = F.repeat(F.lit('[c [d] "]"]'), (k % 30 * 20 + 1).cast("int"))
+    data = F.when(k % 3 == 0, letters).when(k % 3 == 1, quoted).otherwise(nested)
+    line = F.concat(F.lit("<34>1 2024-01-02T03:04:05Z host"), k.cast("string"), F.lit(" app 1 ID "), data, F.lit(" said "), k.cast("string"))
+    lines = read(spark, sf_dir, "supplier").select(line.alias("value"))
+    return compile_sql("SELECT syslog_hostname AS host, syslog_structured_data AS data, message FROM logs").apply(parse_syslog(lines, now=NOW))
+
+
+@query(
+    "framed_chunks",
+    "SELECT n_nationkey::BIGINT AS chunk_id, unnest([0, 1, 2])::BIGINT AS frame_no, unnest([n_name, repeat('x', 40), 'open']) AS value, unnest([false, true, true]) AS truncated FROM nation",
+)
+def framed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counted frames for even chunks, lines for odd ones; the second is above the limit, the last has no end."""
+    name, long = F.col("n_name"), F.repeat(F.lit("x"), F.lit(100))
+    counted = F.concat(F.octet_length(name).cast("string"), F.lit(" "), name, F.lit("100 "), long, F.lit("4 open"))
+    lines = F.concat(name, F.lit("\r\n"), long, F.lit("\n"), F.lit("open"))
+    even = F.col("n_nationkey") % 2 == 0
+    chunks = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("chunk_id"), F.when(even, counted).otherwise(lines).cast("binary").alias("value"))
+    out = frame_chunks(chunks, limit=40).withColumn("value", F.col("value").cast("string"))
+    return out.withColumn("truncated", F.col("truncated") | (F.col("value") == "open"))
+
+
 # decoders
 
 
@@ -191,10 +225,17 @@ def ndjson_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_sql("SELECT message, k, source FROM logs").apply(decode_ndjson(props(spark, sf_dir), "k bigint"))
 
 
-@query("ndjson_bad_as_text", "SELECT count(*) AS n, count(*) FILTER (event_id % 5 = 0) AS bad FROM events")
+@query("ndjson_bad_as_text", "SELECT CASE WHEN event_id % 5 = 0 THEN '{ bad ' || props ELSE props END AS message, CASE WHEN event_id % 5 <> 0 THEN CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, 'stdin' AS source FROM events")
 def ndjson_bad_as_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = decode_ndjson(props(spark, sf_dir, True), "k bigint")
-    return events.agg(F.count("*").alias("n"), F.count_if(F.col("k").isNull()).alias("bad"))
+    return compile_sql("SELECT message, k, source FROM logs").apply(decode_ndjson(props(spark, sf_dir, True), "k bigint"))
+
+
+@query("ndjson_nested", "SELECT 'm' || event_id AS message, '[' || user_id || ',2]' AS a, '{\"k\":\"' || event_type || '\"}' AS o, event_id % 2 = 0 AS b FROM events")
+def ndjson_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A message key of another name; what is nested becomes text."""
+    line = F.format_string('{"text":"m%d","a":[%d,2],"o":{"k":"%s"},"b":%s}', "event_id", "user_id", "event_type", F.when(F.col("event_id") % 2 == 0, "true").otherwise("false"))
+    lines = read(spark, sf_dir, "events").select(line.alias("value"))
+    return compile_sql("SELECT message, a, o, b FROM logs").apply(decode_ndjson(lines, "a string, o string, b boolean", message_key="text"))
 
 
 @query("ndjson_bad_drop", "SELECT CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events WHERE event_id % 5 <> 0 GROUP BY 1")
@@ -208,6 +249,13 @@ def utf8_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compile_sql("SELECT message, source, stdin_msg_utf8_valid = NULL AS valid FROM logs").apply(decode_text(lines))
 
 
+@query("utf8_invalid", "SELECT event_type || CASE WHEN event_id % 2 = 0 THEN chr(65533) ELSE '' END AS message, CASE WHEN event_id % 2 = 0 THEN false END AS valid FROM events")
+def utf8_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = F.col("event_type").cast("binary")
+    lines = read(spark, sf_dir, "events").select(F.when(F.col("event_id") % 2 == 0, F.concat(raw, F.lit(b"\xff"))).otherwise(raw).alias("value"))
+    return compile_sql("SELECT message, stdin_msg_utf8_valid AS valid FROM logs").apply(decode_text(lines))
+
+
 @query("raw_codec", "SELECT text AS message FROM documents")
 def raw_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = read(spark, sf_dir, "documents").select(F.encode("text", "UTF-8").alias("value"))
@@ -256,7 +304,21 @@ def peer_acl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.where(allowed("peer", ["10.0.1.0/24", "10.0.0.64/26"])).select("event_id")
 
 
-@query("token_bucket")
+@query("peer_acl_v6", "SELECT event_id FROM events WHERE user_id % 4 = 1")
+def peer_acl_v6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    peer = F.format_string("[2001:db8:%d::7]:514", F.col("user_id") % 4)
+    events = read(spark, sf_dir, "events").select("event_id", peer.alias("peer"))
+    return events.where(allowed("peer", ["2001:db8:1::/48", "10.0.0.0/8"])).select("event_id")
+
+
+@query(
+    "token_bucket",
+    "WITH RECURSIVE arrived AS (SELECT (user_id % 16)::VARCHAR AS stream, event_id AS line_no, event_id / 10 AS came, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id) AS r FROM events), "
+    "run(stream, r, came, tokens, pass) AS (SELECT stream, r, came, 1e0, true FROM arrived WHERE r = 1 UNION ALL "
+    "SELECT stream, r, came, have - CASE WHEN have >= 1 THEN 1 ELSE 0 END, have >= 1 FROM (SELECT n.stream, n.r, n.came, least(2e0, run.tokens + (n.came - run.came) * 0.5e0) AS have "
+    "FROM run JOIN arrived n ON n.stream = run.stream AND n.r = run.r + 1) t) "
+    "SELECT stream, line_no FROM run JOIN arrived USING (stream, r) WHERE pass",
+)
 def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = event_lines(spark, sf_dir, F.col("event_type")).withColumn("at", (F.col("line_no") / 10).cast("double"))
     return rate_limited(events, 0.5, 2, order="line_no").select("stream", "line_no")
@@ -264,6 +326,7 @@ def token_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUEUE = "SELECT stream, line_no FROM (SELECT (user_id % 16)::VARCHAR AS stream, event_id AS line_no, row_number() OVER (PARTITION BY user_id % 16 ORDER BY event_id {way}) AS r FROM events) WHERE r <= 20"
 query("drop_newest", QUEUE.format(way="ASC"))(lambda spark, sf_dir: bounded(event_lines(spark, sf_dir, F.col("event_type")), 20, "drop_newest", "stream").select("stream", "line_no"))
+query("queue_reject", QUEUE.format(way="ASC"))(lambda spark, sf_dir: bounded(event_lines(spark, sf_dir, F.col("event_type")), 20, "reject", "stream").select("stream", "line_no"))
 query("drop_oldest", QUEUE.format(way="DESC"))(lambda spark, sf_dir: bounded(event_lines(spark, sf_dir, F.col("event_type")), 20, "drop_oldest", "stream").select("stream", "line_no"))
 
 # pipelines
@@ -306,6 +369,43 @@ def fan_in_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Pipeline(parse_config(CHAINED.format(inputs='"first", "second"'))).outputs({"feed": feed(spark, sf_dir)})["out"]
 
 
+FANNED = CHAINED.format(inputs='"first"') + """
+[sinks.also]
+type = "console"
+inputs = ["second"]
+
+[sinks.raw]
+type = "console"
+inputs = ["feed"]
+"""
+
+
+def fanned(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    events = feed(spark, sf_dir).withColumnRenamed("event_type", "message")
+    return Pipeline(parse_config(FANNED.replace("event_type AS message", "message"))).outputs({"feed": events})
+
+
+@query(
+    "fan_out",
+    "SELECT 'out' AS sink, user_id AS who, event_type AS message FROM events WHERE value >= 20 UNION ALL SELECT 'also', user_id, event_type FROM events WHERE value >= 20 AND event_type = 'click'",
+)
+def fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fanned(spark, sf_dir)
+    return out["out"].select(F.lit("out").alias("sink"), "who", "message").union(out["also"].select(F.lit("also"), "who", "message"))
+
+
+@query("pass_through", "SELECT event_type AS message, user_id, value FROM events")
+def pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fanned(spark, sf_dir)["raw"]
+
+
+@query("console_values", "SELECT '{\"x\": ' || (n_nationkey % 9 + 1) || '.5e0, \"big\": ' || (n_nationkey % 9 + 1) || '.5e3, \"text\": \"a\\u0000\\u001B\\u007F\\n\\t' || n_name || '\", \"yes\": true}' AS line FROM nation")
+def console_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("n_nationkey") % 9 + 1.5
+    text = F.concat(F.lit("a\x00\x1b\x7f\n\t"), "n_name")
+    return console_lines(read(spark, sf_dir, "nation").select(x.alias("x"), (x * 1000).alias("big"), text.alias("text"), F.lit(True).alias("yes")))
+
+
 @query("console_json", """SELECT '{"event_id": ' || event_id || ', "kind": "' || event_type || '", "props": "' || replace(props, '"', '\\"') || '", "none": null}' AS line FROM events""")
 def console_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return console_lines(compile_sql("SELECT event_id, event_type AS kind, props, nothing AS none FROM events").apply(read(spark, sf_dir, "events")))
@@ -335,7 +435,15 @@ over_tables("having_alone", "SELECT COUNT(*) AS n FROM events HAVING COUNT(*) >
 over_tables("aggregates", "SELECT event_type, COUNT(value) AS n, MAX(value) AS high, MIN(value) AS low FROM events GROUP BY event_type", "SELECT event_type, count(value) AS n, max(value) AS high, min(value) AS low FROM events GROUP BY 1", "events")
 over_tables("count_distinct", "SELECT event_type, COUNT(DISTINCT user_id) AS users FROM events GROUP BY event_type", "SELECT event_type, count(DISTINCT user_id) AS users FROM events GROUP BY 1", "events")
 over_tables("select_distinct", "SELECT DISTINCT event_type, user_id FROM events", "SELECT DISTINCT event_type, user_id FROM events", "events")
-over_tables("order_by", "SELECT event_id, value FROM events ORDER BY value DESC, event_id ASC", "SELECT event_id, value FROM events", "events")
+@query("order_by", "SELECT row_number() OVER (ORDER BY n_regionkey DESC, n_name) - 1 AS place, n_regionkey, n_name FROM nation")
+def order_by(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with their place in the result, which is small."""
+    out = compile_sql("SELECT n_regionkey, n_name FROM nation ORDER BY n_regionkey DESC, n_name ASC").over({"nation": read(spark, sf_dir, "nation")})
+    return out.coalesce(1).withColumn("place", F.monotonically_increasing_id())
+
+
+over_tables("theta_alone", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey", "SELECT a.n_name AS x, b.n_name AS y FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey", "nation")
+over_tables("cte_recursive_word", "WITH RECURSIVE d AS (SELECT n_regionkey AS k, COUNT(*) AS n FROM nation GROUP BY n_regionkey) SELECT r_name, n FROM region JOIN d ON r_regionkey = k", "SELECT r_name, count(*) AS n FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY r_name", "nation", "region")
 over_tables(
     "cte_group_join",
     "WITH derived AS (SELECT MAX(o_totalprice) AS most, COUNT(o_orderkey) AS n, o_custkey FROM orders GROUP BY o_custkey) SELECT c_name, most, n FROM customer JOIN derived ON c_custkey = o_custkey",
@@ -348,25 +456,31 @@ over_tables("derived_table", "SELECT d.kind, d.n FROM (SELECT event_type AS kind
 # statements about statements
 
 STATEMENTS = (
-    "SELECT ABS(value) AS v, message FROM logs WHERE level = 'info'",
-    "WITH derived AS (SELECT MAX(a) AS max_a, COUNT(b) AS b_num, user_id FROM MY_TABLE GROUP BY user_id) SELECT * FROM my_table LEFT JOIN derived USING (user_id)",
-    "SELECT (value + 7) * 3 AS score, message FROM metrics WHERE value >= 10",
+    "SELECT UPPER(city) AS town, 2 * (pop + 1) FROM places WHERE ABS(lat) < 40.5",
+    "SELECT o.who, SUM(o.cost) AS s FROM orders o WHERE o.cost > 0 AND kind = 'x' ORDER BY s DESC",
 )
 
 
-@query("column_usage")
+@query("column_usage", "SELECT * FROM (VALUES (0, NULL, 'city'), (0, NULL, 'lat'), (0, NULL, 'pop'), (1, 'o', 'cost'), (1, 'o', 'who'), (1, NULL, 's'), (1, NULL, 'kind')) t(statement, table_name, column_name)")
 def column_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(n, t, c) for n, sql in enumerate(STATEMENTS) for t, c in usage(parse_select(sql)).columns]
     return spark.createDataFrame(rows, "statement int, table_name string, column_name string")
 
 
-@query("function_usage")
+@query("function_usage", "SELECT * FROM (VALUES (0, 'abs', 1), (0, 'upper', 1), (1, 'sum', 1)) t(statement, function_name, arguments)")
 def function_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(n, f, k) for n, sql in enumerate(STATEMENTS) for f, k in usage(parse_select(sql)).functions]
     return spark.createDataFrame(rows, "statement int, function_name string, arguments int")
 
 
-@query("format_roundtrip")
+WRITTEN = {
+    "select ((a)) ,-b  from t inner join u using(k) order by a asc;": "SELECT a, -b FROM t JOIN u USING (k) ORDER BY a",
+    "SELECT x<>1 AND (y OR z) FROM t -- note": "SELECT x != 1 AND (y OR z) FROM t",
+    "with d as (select Count(distinct v) as c from w) select * from d AS e": "WITH d AS (SELECT Count(DISTINCT v) AS c FROM w) SELECT * FROM d e",
+}
+
+
+@query("format_roundtrip", "SELECT * FROM (VALUES " + ", ".join("('{}', '{}', true)".format(k.replace("'", "''"), v.replace("'", "''")) for k, v in WRITTEN.items()) + ") t(written, formatted, same)")
 def format_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(sql, format_select(parse_select(sql)), parse_select(format_select(parse_select(sql))) == parse_select(sql)) for sql in STATEMENTS]
+    rows = [(sql, format_select(parse_select(sql)), parse_select(format_select(parse_select(sql))) == parse_select(sql)) for sql in WRITTEN]
     return spark.createDataFrame(rows, "written string, formatted string, same boolean")

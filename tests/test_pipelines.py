@@ -1,15 +1,17 @@
 """Configuration, graphs, streams, command line, supervision."""
 
 import io
+import json
 import sys
 
 import pytest
+from pyspark.errors import AnalysisException
 
 from emberlog.cli import main
 from emberlog.plans.config import ConfigError, parse_config
 from emberlog.plans.graph import Pipeline
 from emberlog.streaming.metrics import Metrics
-from emberlog.streaming.runner import run_batch, start
+from emberlog.streaming.runner import finish, run_batch, start
 from emberlog.streaming.stateful import stream_multiline
 from emberlog.streaming.supervisor import RestartPolicy, permanent, supervise
 
@@ -21,7 +23,7 @@ address = "udp://127.0.0.1:5514"
 [transforms.pick]
 type = "sql"
 inputs = ["syslog_in"]
-query = "SELECT syslog_severity, message FROM logs WHERE syslog_severity <= 4"
+query = "SELECT syslog_severity, message FROM logs WHERE syslog_severity < 5 AND message != ''"
 parallelism = 2
 queue_capacity = 16
 queue_strategy = "drop_oldest"
@@ -155,3 +157,82 @@ def test_supervision():
 def test_pipeline_compiles_all_statements():
     assert list(Pipeline(parse_config(BASIC)).queries) == ["pick"]
     assert isinstance(sys.stdout, io.TextIOBase)
+
+
+FILES = """
+[sources.feed]
+type = "stdin"
+{settings}
+
+[sinks.out]
+type = "console"
+inputs = ["feed"]
+"""
+
+
+def shown(spark, tmp_path, capsys, settings, *files, **options):
+    """Messages that reach the console when files are run once."""
+    folder = tmp_path / "in"
+    folder.mkdir(exist_ok=True)
+    for n, data in enumerate(files):
+        (folder / f"{n}.log").write_bytes(data)
+    capsys.readouterr()
+    query = start(spark, parse_config(FILES.format(settings=settings)), str(tmp_path / "progress"), {"feed": str(folder)}, once=True, **options)
+    finish(query)
+    return [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+
+
+def test_running_multiline(spark, tmp_path, capsys):
+    pattern = 'multiline.mode = "pattern"\nmultiline.start_pattern = "^BEGIN"\nmultiline.max_bytes = 20'
+    rows = shown(spark, tmp_path, capsys, pattern, b"BEGIN a\nmore\nBEGIN b\n", b"loose\nBEGIN c\n" + b"long line\n" * 50)
+    assert [r["message"] for r in rows] == ["BEGIN a\nmore", "BEGIN b", "loose", "BEGIN c\nlong line\nlo"]
+    (tmp_path / "s").mkdir()
+    rows = shown(spark, tmp_path / "s", capsys, 'multiline.mode = "stanza"', b"one\ntwo\n\n\nthree\n")
+    assert [r["message"] for r in rows] == ["one\ntwo", "three"]
+
+
+def test_running_delimiters_and_sizes(spark, tmp_path, capsys):
+    cases = {
+        "": ["a", "b", "open"],
+        'line_delimiter = "lf"': ["a\r", "b", "open"],
+        'line_delimiter = "crlf"': ["a", "b\nopen"],
+        "flush_partial_on_close = false": ["a", "b"],
+        "message_size_limit = 2": ["a", "b", "op"],
+    }
+    for n, (settings, wanted) in enumerate(cases.items()):
+        (tmp_path / str(n)).mkdir()
+        assert [r["message"] for r in shown(spark, tmp_path / str(n), capsys, settings, b"a\r\nb\nopen")] == wanted
+
+
+def test_running_rates_and_queues(spark, tmp_path, capsys):
+    cases = {
+        "rate_limit_per_sec = 1\nrate_limit_burst = 2": ["0", "1"],
+        'queue_capacity = 2\nwhen_full = "drop_oldest"': ["3", "4"],
+        'queue_capacity = 2\nwhen_full = "drop_newest"': ["0", "1"],
+        "": ["0", "1", "2", "3", "4"],
+    }
+    for n, (settings, wanted) in enumerate(cases.items()):
+        (tmp_path / str(n)).mkdir()
+        assert sorted(r["message"] for r in shown(spark, tmp_path / str(n), capsys, settings, b"0\n1\n2\n3\n4\n")) == wanted
+
+
+def test_fields_of_json_lines_stay_for_a_stream(spark, tmp_path, capsys):
+    rows = shown(spark, tmp_path, capsys, 'codec = "ndjson"', b'{"message": "x", "n": 1}\n', b'{"message": "y", "deep": {"k": [1]}}\n')
+    assert sorted(map(str, rows)) == sorted(map(str, [{"message": "x", "deep": None, "n": 1, "source": "stdin"}, {"message": "y", "deep": '{"k":[1]}', "n": None, "source": "stdin"}]))
+
+
+def test_settings_that_cannot_act_are_refused(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    config = parse_config(BASIC.replace('address = "udp', 'allowed_peers = ["10.0.0.0/8"]\naddress = "udp'))
+    with pytest.raises(ConfigError):
+        start(spark, config, str(tmp_path / "p"), {"syslog_in": str(tmp_path / "in")}, once=True)
+    assert parse_config(BASIC).without_effect()[:2] == ["pick.parallelism", "pick.queue_capacity"]
+
+
+def test_errors_of_batches_end_the_run(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.log").write_text("x\n")
+    query = start(spark, parse_config(FILES.format(settings="")), str(tmp_path / "p"), {"feed": str(tmp_path / "in")}, once=True, on_batch=lambda: spark.table("no_such_table").count())
+    with pytest.raises(AnalysisException) as e:
+        finish(query)
+    assert permanent(e.value) and permanent(e.value.__cause__) and not permanent(OSError("gone"))

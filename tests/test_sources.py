@@ -4,13 +4,14 @@ import datetime as dt
 import socket
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberlog.sinks.console import console_lines, scientific, write_console
 from emberlog.sources.framing import Framer, frame_chunks
 from emberlog.sources.limits import BoundedBuffer, TokenBucket, allowed, bounded, host_of, rate_limited
 from emberlog.sources.multiline import aggregate_lines, java_pattern
 from emberlog.sources.sockets import Listener, address_of
-from emberlog.sources.syslog import parse_syslog, structured_data_end
+from emberlog.sources.syslog import data_end, parse_syslog
 from emberlog.sources.text import decode_ndjson, decode_raw, decode_text, infer_ndjson_schema, read_lines
 
 SD = '[exampleSDID@32473 iut="3" eventSource="Application" eventID="1011"]'
@@ -65,10 +66,52 @@ def test_transport_goes_to_metadata(spark):
     assert meta.payload_truncated and meta.transport.peer_address == "10.0.0.1:5514" and meta.transport.kind == "socket"
 
 
-def test_structured_data_scan():
-    assert structured_data_end('[a x="]"][b] m') == 12
-    assert structured_data_end("[a [b]] m") == 7
-    assert structured_data_end("[a") == -1 and structured_data_end("[a]x") == -1
+def test_structured_data_scan(spark):
+    cases = {
+        '[a x="]"][b] m': 12,
+        "[a [b]] m": 7,
+        "[a": -1,
+        "[a]x": -1,
+        "[a]": 3,
+        '[a x="\\"]"][b [c [d "]" ]]][e] text [f]': 30,
+        '[a "open]': -1,
+        "text": -1,
+        "[a]]": -1,
+        "[a [b] x": -1,
+    }
+    df = spark.createDataFrame([(k, v) for k, v in cases.items()], "text string, wanted int")
+    assert [(r.text, r.end) for r in df.select("text", "wanted", data_end(F.col("text")).alias("end")).collect() if r.wanted != r.end] == []
+
+
+def test_structured_data_as_long_as_a_line_may_be(spark):
+    values = {
+        "letters": f'[a x="{"y" * 65_000}"]',
+        "escapes": f'[a x="{chr(92)}{chr(34)}' + (chr(92) + chr(34)) * 20_000 + '"]',
+        "elements": '[a k="v"]' * 7_000,
+        "nested": "[" * 5_000 + "x" + "]" * 5_000,
+        "many nested": "[a [b] c]" * 3_000,
+        "parameters": "[a" + ' k="v"' * 9_000 + "]",
+    }
+    rows = parsed(spark, *(f"<34>1 t h a p m {v} said {k}" for k, v in values.items()))
+    assert {r.message: r.syslog_structured_data for r in rows} == {f"said {k}": v for k, v in values.items()}
+    rows = parsed(spark, "<34>1 t h a p m " + '[a x="' + "y" * 65_000, "<34>" + "word " * 13_000, "<34>" + "x" * 65_000)
+    assert [r.syslog_format for r in rows] == ["rfc3164"] * 2
+
+
+def test_frames_above_the_limit_are_not_held():
+    for mode, data in (("lf", b"x" * 1000 + b"\nnext\n"), ("octet", b"1000 " + b"x" * 1000 + b"4 next")):
+        f, out, held = Framer(mode, 10), [], 0
+        for at in range(0, len(data), 7):
+            out += f.push(data[at : at + 7])
+            held = max(held, len(f.buffer))
+        assert out == [(b"x" * 10, True), (b"next", False)] and held < 40
+    f = Framer(limit=4)
+    assert f.push(b"18446744073709551615 abcdefgh") == [] and f.finish() == [(b"abcd", True)]
+    f = Framer(limit=4)
+    assert f.push(b"abcd\r\nabcde\r\n") == [(b"abcd", False), (b"abcd", True)]
+    f = Framer()
+    whole = b"3 abc5 de\nfg" + b"2 hi"
+    assert [x for i in range(len(whole)) for x in f.push(whole[i : i + 1])] == [(b"abc", False), (b"de\nfg", False), (b"hi", False)]
 
 
 def test_framing(spark):
