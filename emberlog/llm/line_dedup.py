@@ -1,11 +1,11 @@
 """Line dedup over levelled sorted runs of line hashes, in DataFrame functions only.
 
 A run holds one row per line key: 128 bits of hash, the number of documents that
-have it and the largest doc_id among them, sorted by hash.  Each batch of
-documents adds a run to level 0; when a level holds ``fanout`` runs they are
-merged into one run of the next level.  A batch can be merge-anti-joined with
-the runs (``unseen``) for incremental dedup; ``drop_repeated_lines`` joins all
-lines with the merged runs once every batch is in.
+have it and the largest doc_id among them.  Runs are bucketed and sorted by hash
+when they are written, so that whatever joins them reads them as they lie, without a
+shuffle.  Each batch of documents is merge-anti-joined with the runs: keys not seen
+before become a run of level 0, keys seen before a row that adds to their counts.
+When a level holds ``fanout`` runs, they are merged into one run of the next level.
 """
 
 from __future__ import annotations
@@ -20,7 +20,10 @@ from pyspark.sql import functions as F
 from .common import application_dir, materialize, table
 
 SPACE = " \t\n\x0b\x0c\r"
-BATCHES = 4
+BATCHES, FANOUT = 4, 3
+#: Lines that one bucket of a run is made for, and the fewest buckets.
+BUCKET_LINES, LEAST_BUCKETS = 2_000_000, 8
+HASH = ["h1", "h2"]
 
 
 def line_keys(text: Column) -> Column:
@@ -35,50 +38,72 @@ def key_hash(key: Column) -> list[Column]:
 
 
 class LineRuns:
-    """Levelled sorted runs in the shared folder: ``h1, h2, docs, last`` each."""
+    """Levelled sorted runs in the shared folder, ``h1, h2, docs, last`` each; a key is in one run only."""
 
-    def __init__(self, spark: SparkSession, fanout: int = BATCHES):
-        self.spark, self.fanout = spark, fanout
+    def __init__(self, spark: SparkSession, buckets: int = LEAST_BUCKETS, fanout: int = FANOUT):
+        self.spark, self.buckets, self.fanout = spark, buckets, fanout
         self.folder = f"{application_dir(spark)}/runs-{uuid.uuid4().hex}"
-        self.levels: list[list[str]] = []
+        self.levels: list[list[DataFrame]] = []
+        #: What later batches add to the counts of keys of the runs.
+        self.more: list[DataFrame] = []
 
-    def _write(self, run: DataFrame, level: int) -> None:
-        path = f"{self.folder}/{level}-{uuid.uuid4().hex}"
-        run.sortWithinPartitions("h1", "h2").write.option("compression", "zstd").parquet(path)
-        while len(self.levels) <= level:
-            self.levels.append([])
-        self.levels[level].append(path)
+    def _written(self, run: DataFrame) -> DataFrame:
+        """``run`` in buckets by hash, sorted; its name in the catalog goes at once, the files stay."""
+        name = f"emberlog_run_{uuid.uuid4().hex}"
+        writer = run.write.format("parquet").bucketBy(self.buckets, "h1", "h2").sortBy("h1", "h2")
+        writer.option("path", f"{self.folder}/{name}").option("compression", "zstd").saveAsTable(name)
+        out = self.spark.table(name)
+        self.spark.sql(f"DROP TABLE {name}")
+        return out
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        """Runs as one, bucket by bucket: full outer joins of what lies sorted already."""
 
-    def _read(self, paths: list[str]) -> DataFrame:
-        return reduce(DataFrame.union, (self.spark.read.schema("h1 long, h2 long, docs long, last long").parquet(p) for p in paths))
+        def both(a: DataFrame, b: DataFrame) -> DataFrame:
+            joined = a.alias("a").join(b.alias("b").hint("merge"), HASH, "full")
+            docs = F.coalesce("a.docs", F.lit(0)) + F.coalesce("b.docs", F.lit(0))
+            return joined.select(*HASH, docs.alias("docs"), F.greatest("a.last", "b.last").alias("last"))
+
+        return reduce(both, runs)
 
     def add(self, lines: DataFrame) -> None:
-        """Add the run of a batch ``lines(doc_id, h1, h2)``; no document may be in two batches."""
+        """Add a batch ``lines(doc_id, h1, h2)``; no document may be in two batches."""
         once = lines.groupBy("h1", "h2", "doc_id").agg(F.lit(1).alias("one"))
-        run = once.groupBy("h1", "h2").agg(F.count("one").alias("docs"), F.max("doc_id").alias("last"))
-        self._write(run, 0)
-        level = 0
-        while len(self.levels[level]) >= self.fanout:
+        keys = once.groupBy("h1", "h2").agg(F.count("one").alias("docs"), F.max("doc_id").alias("last"))
+        batch = self._written(keys.repartition(self.buckets, "h1", "h2"))
+        if any(self.levels):
+            fresh = self._written(self.unseen(batch))
+            self.more.append(self._written(batch.join(fresh.hint("merge"), HASH, "left_anti")))
+            batch = fresh
+        self._place(batch, 0)
+        if len(self.more) >= self.fanout:
+            self.more = [self._written(self._merged(self.more))]
+
+    def _place(self, run: DataFrame, level: int) -> None:
+        while len(self.levels) <= level:
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= self.fanout:
             merged, self.levels[level] = self.levels[level], []
-            self._write(self._merged(merged), level + 1)
-            level += 1
-
-    def _merged(self, paths: list[str]) -> DataFrame:
-        return self._read(paths).groupBy("h1", "h2").agg(F.sum("docs").alias("docs"), F.max("last").alias("last"))
-
-    def all(self) -> DataFrame:
-        """All runs as one: a key once, with its documents and the largest of them."""
-        paths = [p for level in self.levels for p in level]
-        if not paths:
-            return self.spark.createDataFrame([], "h1 long, h2 long, docs long, last long")
-        return self._read(paths) if len(paths) == 1 else self._merged(paths)
+            self._place(self._written(self._merged(merged)), level + 1)
 
     def unseen(self, lines: DataFrame) -> DataFrame:
         """Rows of ``lines(h1, h2, ...)`` whose key is in no run, by merge-anti-joins."""
-        for path in (p for level in self.levels for p in level):
-            lines = lines.join(self._read([path]).hint("merge"), ["h1", "h2"], "left_anti")
+        for run in (r for level in self.levels for r in level):
+            lines = lines.join(run.hint("merge"), HASH, "left_anti")
         return lines
 
+    def often(self, least: int) -> DataFrame:
+        """Keys of at least so many documents, with the largest of them."""
+        found = self.spark.createDataFrame([], "h1 long, h2 long, docs long, last long")
+        for run in (r for level in self.levels for r in level):
+            for more in self.more:
+                added = more.select(*HASH, F.col("docs").alias("again"), F.col("last").alias("later"))
+                run = run.join(added.hint("merge"), HASH, "left")
+                run = run.select(*HASH, (F.col("docs") + F.coalesce("again", F.lit(0))).alias("docs"), F.greatest("last", "later").alias("last"))
+            found = found.union(run.where(F.col("docs") >= least))
+        return found
+
 
 def drop_repeated_lines(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = BATCHES
@@ -100,12 +125,15 @@ def drop_repeated_lines(
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(body).alias("row"), line_keys(F.col(text)).alias("keys"))
     lines = rows.select("doc_id", "row", F.posexplode("keys").alias("pos", "key")).where(F.char_length("key") >= min_chars)
     batch = F.pmod(F.xxhash64("doc_id"), F.lit(batches)).alias("batch")
-    lines = materialize(lines.select("doc_id", "row", "pos", *key_hash(F.col("key")), batch), "lines")
-
-    runs = LineRuns(spark, batches)
+    path = f"{application_dir(spark)}/lines-{uuid.uuid4().hex}"
+    lines = lines.select("doc_id", "row", "pos", *key_hash(F.col("key")), batch)
+    lines.write.partitionBy("batch").option("compression", "zstd").parquet(path)
+    # a batch is a folder: its scan reads no other
+    lines = spark.read.schema("doc_id long, row long, pos int, h1 long, h2 long, batch long").parquet(path)
+    runs = LineRuns(spark, max(LEAST_BUCKETS, -(-lines.count() // BUCKET_LINES)))
     for n in range(batches):
         runs.add(lines.where(F.col("batch") == n).select("doc_id", "h1", "h2"))
-    often = materialize(runs.all().where(F.col("docs") >= min_docs).select("h1", "h2", "last"), "often")
+    often = materialize(runs.often(min_docs).select("h1", "h2", "last"), "often")
     hit = lines.join(often, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("last")))
     hit = hit.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set("pos")).alias("__dropped"))
     hit = hit.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "__dropped")

@@ -237,16 +237,24 @@ def test_lines_of_awkward_rows(docs, empty):
 
 
 def test_line_runs_are_levelled_and_joined(spark):
-    runs = line_dedup.LineRuns(spark, fanout=2)
-    hashed = lambda rows: spark.createDataFrame(rows, "doc_id long, key string").select("doc_id", *line_dedup.key_hash(F.col("key")))
-    for batch in ([(1, "a"), (1, "a"), (1, "b")], [(2, "a")], [(3, "a")]):
-        runs.add(hashed(batch))
-    assert [len(level) for level in runs.levels] == [1, 1]
-    assert sorted((r.docs, r["last"]) for r in runs.all().collect()) == [(1, 1), (3, 3)]
-    assert [r.doc_id for r in runs.unseen(hashed([(4, "b"), (5, "new")])).collect()] == [5]
-
-
-# 4
+    runs, rng, seen, last = line_dedup.LineRuns(spark, buckets=4), random.Random(3), Counter(), {}
+    for n in range(7):
+        batch = {(n * 1000 + rng.randrange(50), rng.randrange(60)) for _ in range(80)}
+        for d, k in batch:
+            seen[k] += 1
+            last[k] = max(last.get(k, d), d)
+        runs.add(spark.createDataFrame([(d, k, -k) for d, k in batch], "doc_id long, h1 long, h2 long"))
+        assert all(len(level) < line_dedup.FANOUT for level in runs.levels) and len(runs.more) < line_dedup.FANOUT
+        for least in (1, 3):
+            assert sorted((r.h1, r.docs, r.last) for r in runs.often(least).collect()) == sorted((k, c, last[k]) for k, c in seen.items() if c >= least)
+    assert len(runs.levels) == 2
+    # a key is in one run, and joins of runs move nothing
+    keys = [r.h1 for level in runs.levels for run in level for r in run.select("h1").collect()]
+    assert len(keys) == len(set(keys)) == len(seen)
+    some = next(run for level in runs.levels for run in level)
+    plan = runs.unseen(some)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert [r.h1 for r in runs.unseen(spark.createDataFrame([(1, -1), (99, -99)], "h1 long, h2 long")).collect()] == [99] or 1 not in seen
 
 
 def removed(texts):
