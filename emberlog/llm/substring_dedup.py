@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
@@ -30,10 +30,11 @@ from .common import table
 WINDOW = 13
 #: Windows that a batch gathers before it is sorted into runs (about 60 bytes each).
 BATCH_WINDOWS = 1_500_000
-#: Buckets that runs are dealt to, at least; more if the session shuffles into more partitions.
-LEAST_BUCKETS = 64
+#: Buckets that runs are dealt to, at least, and bytes of text that one is made for: a bucket is
+#: merged in memory, so that there are as many more as there is more text.
+LEAST_BUCKETS, BUCKET_BYTES = 64, 16 << 20
 NO_DOC = (1 << 63) - 1
-RUN = "bucket int, run binary, doc_id long, seq int, at array<int>"
+RUN = "bucket int, run binary, doc_id long, seq long, at array<int>"
 ODD, ODD2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -66,7 +67,7 @@ def _unplaned(raw: bytes, dtype: str, n: int) -> np.ndarray:
 
 def packed(hashes: np.ndarray, checks: np.ndarray, docs: np.ndarray, seqs: np.ndarray, at: np.ndarray) -> bytes:
     """A run sorted by hash as bytes."""
-    known, index = np.unique(np.stack([docs, seqs.astype(np.int64)]), axis=1, return_inverse=True)
+    known, index = np.unique(np.stack([docs, seqs]), axis=1, return_inverse=True)
     parts = [np.diff(hashes, prepend=np.uint64(0)), checks, index.reshape(-1).astype(np.uint32), at.astype(np.uint32), np.diff(known[0], prepend=0), known[1]]
     head = np.array([len(hashes), known.shape[1]], np.uint32).tobytes()
     return head + zstandard.ZstdCompressor(level=1).compress(b"".join(map(_planes, parts)))
@@ -107,8 +108,8 @@ def _answers(docs: np.ndarray, seqs: np.ndarray, at: np.ndarray) -> list[tuple]:
 
 def _frame(runs: list[tuple], answers: list[tuple], buckets: int) -> pd.DataFrame:
     """Rows of both kinds; numbers are never null, as pandas would make them floats and large ids would change."""
-    rows = [(b, r, 0, 0, None) for b, r in runs] + [(x[0] % buckets, None, *x) for x in answers]
-    return pd.DataFrame(rows, columns=["bucket", "run", "doc_id", "seq", "at"]).astype({"bucket": "int32", "doc_id": "int64", "seq": "int32"})
+    rows = [(b, r, 0, 0, None) for b, r in runs] + [((x[0] ^ x[1]) % buckets, None, *x) for x in answers]
+    return pd.DataFrame(rows, columns=["bucket", "run", "doc_id", "seq", "at"]).astype({"bucket": "int32", "doc_id": "int64", "seq": "int64"})
 
 
 def window_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
@@ -117,7 +118,7 @@ def window_runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     def batch(parts: list[tuple]) -> pd.DataFrame:
         hashes, checks = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         sizes = [len(p[0]) for p in parts]
-        docs_, seqs = np.repeat(np.array([p[2] for p in parts], np.int64), sizes), np.repeat(np.array([p[3] for p in parts], np.int32), sizes)
+        docs_, seqs = np.repeat(np.array([p[2] for p in parts], np.int64), sizes), np.repeat(np.array([p[3] for p in parts], np.int64), sizes)
         at = np.concatenate([np.arange(n, dtype=np.int64) for n in sizes])
         order, new = _by_hash(hashes, checks)
         hashes, checks, docs_, seqs, at = hashes[order], checks[order], docs_[order], seqs[order], at[order]
@@ -159,16 +160,16 @@ def merge_joined(runs: DataFrame) -> DataFrame:
 
     def merged(frame: pd.DataFrame) -> pd.DataFrame:
         ready = frame[frame["run"].isna()]
-        rows = list(zip(ready["doc_id"].astype("int64"), ready["seq"].astype("int32"), ready["at"]))
+        rows = list(zip(ready["doc_id"].astype("int64"), ready["seq"].astype("int64"), ready["at"]))
         if len(ready) < len(frame):
             hashes, checks, docs, seqs, at = (np.concatenate(x) for x in zip(*map(unpacked, frame["run"].dropna())))
             order, new = _by_hash(hashes, checks)
             least = np.minimum.reduceat(docs[order], np.flatnonzero(new))[np.cumsum(new) - 1]
             late = order[docs[order] > least]
             rows += _answers(docs[late], seqs[late], at[late])
-        return pd.DataFrame(rows, columns=["doc_id", "seq", "at"]).astype({"doc_id": "int64", "seq": "int32"})
+        return pd.DataFrame(rows, columns=["doc_id", "seq", "at"]).astype({"doc_id": "int64", "seq": "int64"})
 
-    return runs.groupBy("bucket").applyInPandas(merged, "doc_id long, seq int, at array<int>")
+    return runs.groupBy("bucket").applyInPandas(merged, "doc_id long, seq long, at array<int>")
 
 
 def compacted(runs: DataFrame) -> DataFrame:
@@ -234,16 +235,18 @@ def repeated_windows(
     spark = docs.sparkSession
     if history is not None and buckets is None:
         raise ValueError("give the number of buckets of the history")
-    buckets = buckets or max(LEAST_BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     docs = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_DOC)).alias("doc_id"), F.col(text).alias("text"))
-    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
-        docs = docs.withColumn("seq", F.lit(0))
-    else:
-        docs = docs.withColumn("seq", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")) - 1)
+    if buckets is None:
+        buckets = max(LEAST_BUCKETS, (docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0) // BUCKET_BYTES)
+    # rows that repeat a doc_id are told apart by their texts; equal rows have equal answers.
+    # Where none does, a number less travels with the windows
+    alone = docs.groupBy("doc_id").count().where("count > 1").isEmpty()
+    docs = docs.withColumn("seq", F.lit(0).cast("long") if alone else F.xxhash64("text"))
     made = window_runs(docs, window, buckets)
     if history is not None:
-        old = history.select("bucket", "run", F.lit(0).cast("long").alias("doc_id"), F.lit(0).alias("seq"), F.lit(None).cast("array<int>").alias("at"))
+        old = history.select("bucket", "run", F.lit(0).cast("long").alias("doc_id"), F.lit(0).cast("long").alias("seq"), F.lit(None).cast("array<int>").alias("at"))
         made = made.unionByName(old)
+    # one row per document and bucket at most, of places that are no more than its words
     answers = merge_joined(made).groupBy("doc_id", "seq").agg(F.flatten(F.collect_list("at")).alias("at"))
     joined = docs.select("doc_id", "seq", zipped("text").alias("zipped")).join(answers, ["doc_id", "seq"], "left")
     return joined.select(F.nullif("doc_id", F.lit(NO_DOC)).alias("doc_id"), "zipped", "at")
