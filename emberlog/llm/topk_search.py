@@ -1,12 +1,18 @@
-"""Exact top-k search: BM25 over inverted indexes of shards, pruned by block maxima.
-
-All documents are tokenised once against the words of the queries and written.
-The number of documents, their mean length and each word's document frequency are
-counted over all of them.  A shard is what one task reads, up to SHARD_DOCS: it
-inverts its documents and keeps, for each word and block of documents, the largest
-impact.  A query bounds every block by the sum of its words' largest impacts, visits
-blocks from the highest bound on, and leaves out those whose bound is not above the
-score of its k-th best document so far, as block-max WAND does.  The best of all
+"""Exact top-k search: BM25 over inverted indexes of shards, pruned by block maxima and pivots.
+
+All documents are tokenised once and written, whatever the number of queries.  The
+number of documents, their mean length and each word's document frequency are
+counted over all of them.  A shard is what one task reads, up to SHARD_DOCS and
+SHARD_POSTINGS: it inverts its documents and keeps, for each word and block of
+documents, the largest impact.
+
+A query bounds every block by the sum of its words' largest impacts, visits blocks
+from the highest bound on, and leaves out those whose bound is below the score of its
+k-th best document so far.  In the blocks that it visits it looks for pivots, as
+block-max WAND does: words whose list maxima together stay below that score cannot
+bring in a document alone, so only documents with one of the other words are pivots;
+a pivot whose score by these, with the block maxima of the rest, stays below is left
+out too, and the lists of the rest are read for what remains only.  The best of all
 shards are merged; since statistics are global, the result is that of one index.
 """
 
@@ -20,14 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, ranges, table
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_DOCS = 32_768
+SHARD_DOCS, SHARD_POSTINGS = 32_768, 8_000_000
 BLOCK_DOCS = 64
 #: Different words of queries that are searched at once (16 bytes each, on every executor);
 #: more queries go in further blocks.
 BLOCK_TERMS = 2_000_000
+#: Scores have six digits; what rounding could lift is not pruned.
+DIGITS, ROUNDING = 6, 1e-6
 
 
 def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
@@ -38,12 +46,6 @@ def term_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     return terms, counts.astype(np.uint32), len(words)
 
 
-def ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges, one range after the other."""
-    sizes = end - begin
-    return np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-
-
 class Shard:
     """Inverted index of some documents, with block maxima."""
 
@@ -67,67 +69,107 @@ class Shard:
         self.block = (key[self.begin] % max(1, self.blocks)).astype(np.int64)
         self.most = np.maximum.reduceat(self.impact, self.begin) if len(key) else self.impact
         self.runs = np.searchsorted(term[self.begin], np.arange(len(idf) + 1))
+        #: Postings of the words of all queries so far, and those that were read.
+        self.postings, self.read = 0, 0
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> list[tuple[int, float]]:
-        """The k best (doc_id, score), by score and then doc_id; documents with no word in common have no score."""
-        own = ranges(self.runs[terms], self.runs[terms + 1])
+        """The k best (doc_id, score), by rounded score and then doc_id; documents with no word in common have no score."""
+        sizes = self.runs[terms + 1] - self.runs[terms]
+        own = ranges(self.runs[terms], sizes)
         if not len(own):
             return []
-        weight = np.repeat(weights, self.runs[terms + 1] - self.runs[terms])
-        block = self.block[own]
-        bound = np.bincount(block, weights=self.most[own] * weight, minlength=self.blocks)
+        block, length = self.block[own], self.end[own] - self.begin[own]
+        most = self.most[own] * np.repeat(weights, sizes)
+        word = np.repeat(np.arange(len(terms)), sizes)
+        weight = weights[word]
+        self.postings += int(length.sum())
+        bound = np.bincount(block, weights=most, minlength=self.blocks)
+        # words by their list maxima: the first ones together tell little
+        list_most = np.zeros(len(terms))
+        np.maximum.at(list_most, word, most)
+        order = np.argsort(list_most, kind="stable")
+        together = np.empty(len(terms))
+        together[order] = np.cumsum(list_most[order])
         queue = np.argsort(-bound, kind="stable")
         queue = queue[bound[queue] > 0]
         best: list[tuple[float, int]] = []
-        least, at, step = 0.0, 0, 4
-        while at < len(queue) and (len(best) < k or bound[queue[at]] >= least - 1e-9):
-            taken = np.zeros(self.blocks, bool)
+        least, at, step = -1.0, 0, 4
+        while at < len(queue) and bound[queue[at]] >= least:
             part = queue[at : at + step]
-            taken[part if len(best) < k else part[bound[part] >= least - 1e-9]] = True
+            taken = np.zeros(self.blocks, bool)
+            taken[part[bound[part] >= least]] = True
             pick = taken[block]
-            begin, end = self.begin[own[pick]], self.end[own[pick]]
-            postings = ranges(begin, end)
-            score = np.bincount(self.doc[postings], weights=self.impact[postings] * np.repeat(weight[pick], end - begin))
+            strong = together[word] >= least
+            score = self._add(own[pick & strong], weight[pick & strong])
             found = np.flatnonzero(score)
-            if len(found) > k + 1:
-                cut = np.partition(score[found], -(k + 1))[-(k + 1)]
-                found = found[score[found] >= max(cut, least) - 1e-9]
-            best += [(-s, i) for s, i in zip(score[found].tolist(), self.ids[found].tolist()) if i != skip]
+            weak = pick & ~strong
+            if weak.any() and len(found):
+                rest = np.bincount(block[weak], weights=most[weak], minlength=self.blocks)
+                found = found[score[found] + rest[found // BLOCK_DOCS] >= least]
+                live = np.zeros(self.blocks, bool)
+                live[found // BLOCK_DOCS] = True
+                weak &= live[block]
+                score = score + self._add(own[weak], weight[weak])
+            # what is left out comes before what is cut
+            found = found[(self.ids[found] != skip) & (score[found] >= least)] if skip is not None else found[score[found] >= least]
+            if len(found) > k:
+                found = found[score[found] >= np.partition(score[found], -k)[-k] - ROUNDING]
+            best += [(-round(s, DIGITS), i) for s, i in zip(score[found].tolist(), self.ids[found].tolist())]
             best = sorted(best)[:k]
-            least = -best[-1][0] if len(best) == k else 0.0
+            least = -best[-1][0] - ROUNDING if len(best) == k else -1.0
             at, step = at + step, step * 2
         return [(i, -s) for s, i in best]
 
+    def _add(self, runs: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Scores of all documents by the postings of these runs."""
+        sizes = self.end[runs] - self.begin[runs]
+        postings = ranges(self.begin[runs], sizes)
+        self.read += len(postings)
+        return np.bincount(self.doc[postings], weights=self.impact[postings] * np.repeat(weights, sizes), minlength=len(self.ids))
+
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text", skip_self: bool = True, block_terms: int = BLOCK_TERMS) -> DataFrame:
     """``query_id, rank, doc_id, score`` of the k best documents of each query ``(query_id, text)``.
 
     A word that a query repeats counts as often.  Scores are rounded to 6 digits
-    and equal ones go by the smaller doc_id.  ``skip_self`` leaves a query's own
-    document out.
+    and equal ones go by the smaller doc_id.  ``skip_self`` leaves the documents of
+    a query's own id out.
 
     Null and empty texts match nothing, on either side; a query with fewer matching
-    documents than k has fewer rows.  Rows with a null doc_id are not found, rows
-    that repeat one compete each; texts are whole at any length.  Other columns are
-    not read.
+    documents than k has fewer rows.  Rows with a null id are neither found nor
+    asked.  Rows that repeat a doc_id compete each; rows that repeat a query_id are
+    one query of all their words.  Texts are whole at any length.  Other columns
+    are not read.  An empty table, on either side, gives no rows.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id IS NOT NULL")
+    queries = queries.select(F.col("query_id").cast("long").alias("query_id"), "text").where("query_id IS NOT NULL")
+    queries = queries.groupBy("query_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
 
     def asked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(q, *(x.tobytes() for x in term_counts(t)[:2])) for q, t in zip(frame["query_id"], frame["text"])]
             yield pd.DataFrame(rows, columns=["query_id", "terms", "counts"])
 
-    asked_df = queries.select(F.col("query_id").cast("long").alias("query_id"), "text").mapInPandas(asked, "query_id long, terms binary, counts binary")
-    asked_df = materialize(asked_df.where("query_id IS NOT NULL"), "asked")
+    asked_df = materialize(queries.mapInPandas(asked, "query_id long, terms binary, counts binary"), "asked")
+
+    def tokenised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for doc, text in zip(frame["doc_id"], frame["text"]):
+                terms, counts, n = term_counts(text)
+                rows.append((doc, n, terms.tobytes(), counts.tobytes()))
+            yield pd.DataFrame(rows, columns=["doc_id", "n", "terms", "counts"])
+
+    forward = materialize(docs.mapInPandas(tokenised, "doc_id long, n long, terms binary, counts binary"), "forward")
+    sizes = forward.agg(F.count("*"), F.sum("n")).first()
     size = asked_df.agg(F.sum(F.octet_length("terms"))).first()[0] or 0
     blocks = max(1, -(-size // (8 * block_terms)))
     found = []
     for n in range(blocks):
         rows = asked_df.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n).collect()
         asked_now = [(r["query_id"], np.frombuffer(r["terms"], np.uint64), np.frombuffer(r["counts"], np.uint32)) for r in rows]
-        found.append(_search_block(spark, docs, asked_now, k, skip_self))
+        found.append(_search_block(forward, sizes, asked_now, k, skip_self))
     best = found[0]
     for more in found[1:]:
         best = best.union(more)
@@ -135,32 +177,29 @@ def search(docs: DataFrame, queries: DataFrame, k: int = K, doc_id: str = "doc_i
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def _search_block(spark: SparkSession, docs: DataFrame, asked: list[tuple], k: int, skip_self: bool) -> DataFrame:
-    words = np.unique(np.concatenate([np.empty(0, np.uint64), *(t for _, t, _ in asked)]))
-    shared = spark.sparkContext.broadcast(words)
+def _known(words: np.ndarray, terms: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the terms are among the words, and their places there."""
+    terms = np.frombuffer(terms, np.uint64)
+    if not len(words):
+        return np.zeros(len(terms), bool), np.empty(0, np.uint32)
+    at = np.minimum(np.searchsorted(words, terms), len(words) - 1)
+    same = words[at] == terms
+    return same, at[same].astype(np.uint32)
 
-    def tokenised(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = shared.value
-        for frame in frames:
-            rows = []
-            for doc, text in zip(frame["doc_id"], frame["text"]):
-                terms, counts, n = term_counts(text)
-                at = np.searchsorted(known, terms)
-                same = known[np.minimum(at, len(known) - 1)] == terms if len(known) else np.zeros(len(terms), bool)
-                rows.append((doc, n, at[same].astype(np.uint32).tobytes(), counts[same].tobytes()))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "terms", "counts"])
 
-    forward = materialize(docs.mapInPandas(tokenised, "doc_id long, n long, terms binary, counts binary"), "forward")
+def _search_block(forward: DataFrame, sizes: tuple, asked: list[tuple], k: int, skip_self: bool) -> DataFrame:
+    spark = forward.sparkSession
+    words = np.unique(np.concatenate([np.empty(0, np.uint64), *(t for _, t, _ in asked)]))
+    shared = spark.sparkContext.broadcast(words)
 
     def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(len(shared.value), np.int64)
         for frame in frames:
             for terms in frame["terms"]:
-                seen[np.frombuffer(terms, np.uint32)] += 1
+                seen[_known(shared.value, terms)[1]] += 1
         at = np.flatnonzero(seen)
         yield pd.DataFrame({"term": at, "df": seen[at]})
 
-    sizes = forward.agg(F.count("*"), F.sum("n")).first()
     frequency = np.zeros(len(words), np.int64)
     for r in forward.select("terms").mapInPandas(counted, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).toPandas().itertuples():
         frequency[r.term] = r.df
@@ -171,20 +210,21 @@ def _search_block(spark: SparkSession, docs: DataFrame, asked: list[tuple], k: i
     def searched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked_, idf_, mean_ = model.value
 
-        def answer(held: list[pd.DataFrame]) -> pd.DataFrame:
-            all_ = pd.concat(held, ignore_index=True)
-            terms, counts = ([np.frombuffer(x, np.uint32) for x in all_[c]] for c in ("terms", "counts"))
-            shard = Shard(all_["doc_id"].to_numpy(), all_["n"].to_numpy(), terms, counts, idf_, mean_)
-            rows = [(q, d, round(s, 6)) for q, t, c in asked_ for d, s in shard.search(t, c, k, q if skip_self else None)]
-            return pd.DataFrame(rows, columns=["query_id", "doc_id", "score"]).astype({"query_id": "int64", "doc_id": "int64"})
+        def answer(held: list[tuple]) -> pd.DataFrame:
+            ids, lengths, terms, counts = zip(*held)
+            shard = Shard(np.array(ids, np.int64), np.array(lengths, np.int64), list(terms), list(counts), idf_, mean_)
+            rows = [(q, d, s) for q, t, c in asked_ for d, s in shard.search(t, c, k, q if skip_self else None)]
+            return pd.DataFrame(rows, columns=["query_id", "doc_id", "score"]).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
 
-        held, n = [], 0
+        held, postings = [], 0
         for frame in frames:
-            held.append(frame)
-            n += len(frame)
-            if n >= SHARD_DOCS:
-                yield answer(held)
-                held, n = [], 0
+            for doc, n, terms, counts in zip(frame["doc_id"], frame["n"], frame["terms"], frame["counts"]):
+                same, at = _known(shared.value, terms)
+                held.append((doc, n, at, np.frombuffer(counts, np.uint32)[same]))
+                postings += len(at)
+                if len(held) >= SHARD_DOCS or postings >= SHARD_POSTINGS:
+                    yield answer(held)
+                    held, postings = [], 0
         if held:
             yield answer(held)
 

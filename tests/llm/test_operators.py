@@ -420,6 +420,41 @@ def test_search_of_awkward_rows(docs, empty, monkeypatch):
     assert topk_search.search(docs, queries.limit(0)).count() == 0
 
 
+def test_search_of_repeated_rows_and_ties(spark):
+    rows = [(5, "red fox runs"), (5, "red fox sits"), *((n, f"red fox number{n}") for n in range(10, 21)), (7, None)]
+    docs = documents(spark, rows)
+    asked = spark.createDataFrame([(5, "red fox"), (7, "red"), (7, "fox"), (None, "red")], "query_id long, text string")
+    got = topk_search.search(docs, asked, k=10).collect()
+    assert [r.doc_id for r in sorted((r for r in got if r.query_id == 5), key=lambda r: r["rank"])] == list(range(10, 20))
+    assert [r.doc_id for r in sorted((r for r in got if r.query_id == 7), key=lambda r: r["rank"])] == [5, 5, *range(10, 18)]
+    assert len(got) == 20
+    # scores that differ below the sixth digit are equal: the smaller id is first
+    shard = topk_search.Shard(np.array([9, 3]), np.array([10, 10]), [np.array([0], np.uint32)] * 2, [np.array([1], np.uint32)] * 2, np.array([1.0]), 10.0)
+    shard.impact = shard.impact + np.where(shard.ids[shard.doc] == 9, 4e-8, 0)
+    assert [i for i, _ in shard.search(np.array([0]), np.array([1.0]), 1)] == [3]
+
+
+def test_search_skips_postings():
+    rng = np.random.default_rng(4)
+    n, words = 4000, 2100  # forty subjects of fifty words, and a hundred that all have
+    bags = [np.unique(np.concatenate([rng.integers(0, 100, 30), 100 + d % 40 * 50 + rng.integers(0, 50, 20)])) for d in range(n)]
+    counts = [rng.integers(1, 4, len(b)).astype(np.uint32) for b in bags]
+    lengths = np.array([c.sum() for c in counts])
+    df = np.bincount(np.concatenate(bags), minlength=words)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shard = topk_search.Shard(np.arange(n), lengths, [b.astype(np.uint32) for b in bags], counts, idf, lengths.mean())
+    for q in range(0, n, 200):
+        terms, weights = bags[q], counts[q].astype(float)
+        score = np.zeros(n)
+        for d in range(n):
+            _, x, y = np.intersect1d(terms, bags[d], return_indices=True)
+            tf = counts[d][y]
+            score[d] = (weights[x] * idf[bags[d][y]] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * lengths[d] / lengths.mean()))).sum()
+        wanted = sorted((-round(s, 6), d) for d, s in enumerate(score.tolist()) if d != q and s)[:10]
+        assert [i for i, _ in shard.search(terms, weights, 10, q)] == [d for _, d in wanted]
+    assert shard.read < 0.75 * shard.postings
+
+
 # 8
 
 
