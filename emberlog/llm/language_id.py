@@ -184,7 +184,8 @@ def with_language(docs: DataFrame, model: CentroidModel, text: str = "text") ->
         for texts in batches:
             yield model.predict(texts.tolist())
 
-    found = docs.withColumn("__language", predicted(F.col(text)))
+    # not to be evaluated again where its parts are filtered
+    found = docs.withColumn("__language", predicted.asNondeterministic()(F.col(text)))
     return found.withColumns({c: F.col(f"__language.{c}") for c in ("lang_pred", "score", "rejected")}).drop("__language")
 
 

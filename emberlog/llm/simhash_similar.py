@@ -44,7 +44,7 @@ ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Documents of a shingle above which they are dealt by pairs of blocks.
 BLOCK = 1024
 #: Pairs that the filter looks at together.
-CHUNK_PAIRS = 1_000_000
+CHUNK_PAIRS = 200_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
