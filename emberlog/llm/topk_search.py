@@ -6,14 +6,13 @@ counted over all of them.  A shard is what one task reads, up to SHARD_DOCS and
 SHARD_POSTINGS: it inverts its documents and keeps, for each word and block of
 documents, the largest impact.
 
-A query bounds every block by the sum of its words' largest impacts, visits blocks
-from the highest bound on, and leaves out those whose bound is below the score of its
-k-th best document so far.  In the blocks that it visits it looks for pivots, as
-block-max WAND does: words whose list maxima together stay below that score cannot
-bring in a document alone, so only documents with one of the other words are pivots;
-a pivot whose score by these, with the block maxima of the rest, stays below is left
-out too, and the lists of the rest are read for what remains only.  The best of all
-shards are merged; since statistics are global, the result is that of one index.
+A query adds up its words' lists, the words with the largest impacts first.  Scores
+only grow, so the k-th best so far is a threshold.  Once the words that are left
+could not bring in a document alone, pivots are looked for as in block-max WAND: only
+a document whose score so far, with its block's largest impacts of the words that are
+left, reaches the threshold.  If pivots are few, they alone are scored to the end,
+from their own words, and the long lists of the frequent words are never read.  The best of
+all shards are merged; since statistics are global, the result is that of one index.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import materialize, ranges, table
 
 K, K1, B = 10, 1.2, 0.75
-SHARD_DOCS, SHARD_POSTINGS = 32_768, 8_000_000
+SHARD_DOCS, SHARD_POSTINGS = 32_768, 4_000_000
 BLOCK_DOCS = 64
 #: Different words of queries that are searched at once (16 bytes each, on every executor);
 #: more queries go in further blocks.
@@ -58,74 +57,94 @@ class Shard:
         doc = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
         term = np.concatenate([np.empty(0, np.uint32), *terms]).astype(np.int64)
         tf = np.concatenate([np.empty(0, np.uint32), *counts]).astype(float)
-        order = np.argsort(term, kind="stable")
-        term, self.doc, tf = term[order], doc[order], tf[order]
         norm = K1 * (1 - B + B * lengths / mean)
-        self.impact = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
+        impact = idf[term] * tf * (K1 + 1) / (tf + norm[doc])
+        #: Words and impacts of each document.
+        self.words, self.own = term, impact
+        self.first = np.searchsorted(doc, np.arange(len(ids) + 1))
+        order = np.argsort(term, kind="stable")
+        term, self.doc, self.impact = term[order], doc[order], impact[order]
+        #: Where the list of each word begins.
+        self.lists = np.searchsorted(term, np.arange(len(idf) + 1))
         self.blocks = -(-len(ids) // BLOCK_DOCS)
+        self.block_of = np.arange(len(ids)) // BLOCK_DOCS
         key = term * self.blocks + self.doc // BLOCK_DOCS
-        self.begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
-        self.end = np.append(self.begin[1:], len(key)).astype(np.int64)[: len(self.begin)]
-        self.block = (key[self.begin] % max(1, self.blocks)).astype(np.int64)
-        self.most = np.maximum.reduceat(self.impact, self.begin) if len(key) else self.impact
-        self.runs = np.searchsorted(term[self.begin], np.arange(len(idf) + 1))
+        begin = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+        #: Largest impacts by word and block, where the blocks of each word begin, and the largest of all its blocks.
+        self.block = (key[begin] % max(1, self.blocks)).astype(np.int64)
+        self.most = np.maximum.reduceat(self.impact, begin) if len(key) else self.impact
+        self.runs = np.searchsorted(term[begin], np.arange(len(idf) + 1))
+        self.top = np.zeros(len(idf))
+        np.maximum.at(self.top, term[begin], self.most)
+        self.weight_of = np.zeros(len(idf))
         #: Postings of the words of all queries so far, and those that were read.
         self.postings, self.read = 0, 0
 
     def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> list[tuple[int, float]]:
         """The k best (doc_id, score), by rounded score and then doc_id; documents with no word in common have no score."""
-        sizes = self.runs[terms + 1] - self.runs[terms]
-        own = ranges(self.runs[terms], sizes)
-        if not len(own):
+        some = self.lists[terms + 1] > self.lists[terms]
+        order = np.argsort(-self.top[terms[some]] * weights[some], kind="stable")
+        terms, weights = terms[some][order], weights[some][order]
+        if not len(terms):
             return []
-        block, length = self.block[own], self.end[own] - self.begin[own]
-        most = self.most[own] * np.repeat(weights, sizes)
-        word = np.repeat(np.arange(len(terms)), sizes)
-        weight = weights[word]
-        self.postings += int(length.sum())
-        bound = np.bincount(block, weights=most, minlength=self.blocks)
-        # words by their list maxima: the first ones together tell little
-        list_most = np.zeros(len(terms))
-        np.maximum.at(list_most, word, most)
-        order = np.argsort(list_most, kind="stable")
-        together = np.empty(len(terms))
-        together[order] = np.cumsum(list_most[order])
-        queue = np.argsort(-bound, kind="stable")
-        queue = queue[bound[queue] > 0]
-        best: list[tuple[float, int]] = []
-        least, at, step = -1.0, 0, 4
-        while at < len(queue) and bound[queue[at]] >= least:
-            part = queue[at : at + step]
-            taken = np.zeros(self.blocks, bool)
-            taken[part[bound[part] >= least]] = True
-            pick = taken[block]
-            strong = together[word] >= least
-            score = self._add(own[pick & strong], weight[pick & strong])
+        begin, end = self.lists[terms], self.lists[terms + 1]
+        left = np.cumsum((self.top[terms] * weights)[::-1])[::-1]
+        total = int((end - begin).sum())
+        self.postings += total
+        own = np.flatnonzero(self.ids == skip) if skip is not None else np.empty(0, np.int64)
+        score = np.zeros(len(self.ids))
+        read, look = 0, total // 8
+        found = None
+        for i, (b, e, w) in enumerate(zip(begin.tolist(), end.tolist(), weights.tolist())):
+            if read > look:
+                look = read * 1.5
+                found = self._pivots(score, terms[i:], weights[i:], left[i], own, k, total - read)
+                if found is not None:
+                    score = self._scored(found, terms, weights)
+                    break
+            # a document is in a list once
+            score[self.doc[b:e]] += w * self.impact[b:e]
+            read += e - b
+        self.read += read
+        if found is None:
             found = np.flatnonzero(score)
-            weak = pick & ~strong
-            if weak.any() and len(found):
-                rest = np.bincount(block[weak], weights=most[weak], minlength=self.blocks)
-                found = found[score[found] + rest[found // BLOCK_DOCS] >= least]
-                live = np.zeros(self.blocks, bool)
-                live[found // BLOCK_DOCS] = True
-                weak &= live[block]
-                score = score + self._add(own[weak], weight[weak])
-            # what is left out comes before what is cut
-            found = found[(self.ids[found] != skip) & (score[found] >= least)] if skip is not None else found[score[found] >= least]
-            if len(found) > k:
-                found = found[score[found] >= np.partition(score[found], -k)[-k] - ROUNDING]
-            best += [(-round(s, DIGITS), i) for s, i in zip(score[found].tolist(), self.ids[found].tolist())]
-            best = sorted(best)[:k]
-            least = -best[-1][0] - ROUNDING if len(best) == k else -1.0
-            at, step = at + step, step * 2
-        return [(i, -s) for s, i in best]
-
-    def _add(self, runs: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """Scores of all documents by the postings of these runs."""
-        sizes = self.end[runs] - self.begin[runs]
-        postings = ranges(self.begin[runs], sizes)
-        self.read += len(postings)
-        return np.bincount(self.doc[postings], weights=self.impact[postings] * np.repeat(weights, sizes), minlength=len(self.ids))
+            score = score[found]
+        # what is left out comes before what is cut
+        if len(own):
+            other = ~np.isin(found, own)
+            found, score = found[other], score[other]
+        if len(found) > k:
+            near = score >= np.partition(score, -k)[-k] - ROUNDING
+            found, score = found[near], score[near]
+        best = sorted((-round(s, DIGITS), d) for s, d in zip(score.tolist(), self.ids[found].tolist()))[:k]
+        return [(d, -s) for s, d in best]
+
+    def _pivots(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, left: float, own: np.ndarray, k: int, postings: int) -> np.ndarray | None:
+        """Documents that the words that are left could lift to the threshold, if they have fewer words than the lists that are left."""
+        if len(score) <= k + len(own):
+            return None
+        others = score
+        if len(own):
+            others = score.copy()
+            others[own] = 0
+        least = np.partition(others, -k)[-k] - 2 * ROUNDING
+        if left >= least:
+            return None
+        sizes = self.runs[terms + 1] - self.runs[terms]
+        runs = ranges(self.runs[terms], sizes)
+        rest = np.bincount(self.block[runs], weights=self.most[runs] * np.repeat(weights, sizes), minlength=self.blocks)
+        found = np.flatnonzero(score + rest[self.block_of] >= least)
+        return found if 2 * int((self.first[found + 1] - self.first[found]).sum()) <= postings else None
+
+    def _scored(self, found: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """Whole scores of some documents, from their own words."""
+        sizes = self.first[found + 1] - self.first[found]
+        at = ranges(self.first[found], sizes)
+        self.weight_of[terms] = weights
+        score = np.bincount(np.repeat(np.arange(len(found)), sizes), weights=self.own[at] * self.weight_of[self.words[at]], minlength=len(found))
+        self.weight_of[terms] = 0
+        self.read += len(at)
+        return score
 
 
 def search(docs: DataFrame, queries: DataFrame, k: int = K, doc_id: str = "doc_id", text: str = "text", skip_self: bool = True, block_terms: int = BLOCK_TERMS) -> DataFrame:
