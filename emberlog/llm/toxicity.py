@@ -209,7 +209,8 @@ class ToxicityModel:
 
     def scores(self, views: np.ndarray) -> np.ndarray:
         margin = views @ self.whitened @ self.weights + self.bias
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
+        found = 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -30, 30)))
+        return np.zeros(len(views)) if self.offset == -np.inf else found
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-5, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -261,6 +262,11 @@ def fit(landmarks: list[str], views: np.ndarray, y: np.ndarray) -> ToxicityModel
     return ToxicityModel(landmarks, whitened, w, b, *fit_logistic(x @ w + b, y))
 
 
+def constant(label: int) -> ToxicityModel:
+    """A model that gives every text the score of this label."""
+    return ToxicityModel(["none"], np.zeros((1, 1)), np.zeros(1), 0.0, 0.0, 30.0 if label else -np.inf)
+
+
 def _overlap(a: str, b: str) -> bool:
     """Whether the words share four letters in a row."""
     return any(a[i : i + 4] in b for i in range(len(a) - 3))
@@ -283,18 +289,24 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, landmark
 
     About ``fit_rows`` labelled documents with the smallest hashes are taken, so
     the ids are few and broadcast; their tokens are counted, and their views
-    computed, where the rows are.  Null labels and null texts are left out.
+    computed, where the rows are.  Null labels and null texts are left out; of rows
+    that repeat a doc_id in ``labels`` the largest label counts, and rows that repeat
+    one in ``docs`` are texts of that label.  Without labelled texts, or with
+    labels of one kind only, nothing is learned: every text has that kind's score, 0
+    or 1, and 0 without any.
     """
     labels = labels.where("toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = labels.count()
     if not n:
-        raise ValueError("no labelled rows to learn from")
+        return constant(0)
     grain = 1 << 30
     few = labels.where(F.pmod(F.xxhash64(F.lit("fit"), "doc_id"), F.lit(grain)) < min(grain, grain * fit_rows // n))
     rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(few), "doc_id")
 
-    sides = few.agg(F.sum("toxic"), F.count("*")).first()
-    pos, neg = max(1, sides[0] or 0), max(1, sides[1] - (sides[0] or 0))
+    sides = rows.agg(F.sum("toxic"), F.count("*")).first()
+    pos, neg = sides[0] or 0, sides[1] - (sides[0] or 0)
+    if not pos or not neg:
+        return constant(1 if pos else 0)
     words = _counted(rows, lambda text: {w for t in tokens_of(text) for w in words_of(t)}, pos, neg)
     telling = [r["part"] for r in words.where("n >= 3").orderBy(F.desc("lift"), "part").limit(PART_WORDS).collect()]
     parts = {w[i : i + k] for w in telling for k in PARTS for i in range(len(w) - k + 1)}

@@ -361,6 +361,29 @@ def test_toxicity_on_held_out_rows(spark):
         toxicity.train(frame, labels.limit(0))
 
 
+def test_toxicity_without_anything_to_learn(docs, empty, spark):
+    labels = spark.createDataFrame([(1, 1), (8, 0), (None, 1), (2, None)], "doc_id long, toxic int")
+    clashing = docs.withColumnRenamed("row", "predicted")
+    for seen, judged, score in (
+        (labels.limit(0), 0, 0.0),
+        (labels.where("doc_id IS NULL"), 0, 0.0),
+        (labels.where("doc_id = 99"), 0, 0.0),
+        (labels.where("doc_id = 8"), 0, 0.0),
+        (labels.where("doc_id = 1"), 1, 1.0),
+    ):
+        out = toxicity.with_toxicity(clashing, toxicity.train(docs, seen)).collect()
+        assert len(out) == len(AWKWARD) and all(r.predicted == judged and abs(r.score - score) < 1e-6 for r in out)
+    assert toxicity.with_toxicity(empty, toxicity.train(docs, labels)).count() == 0
+    assert toxicity.with_toxicity(docs, toxicity.train(empty, labels)).where("predicted = 1").count() == 0
+
+
+def test_queries_run_on_empty_tables(spark, tmp_path):
+    for t in ("documents", "labels", "benchmark", "conversations"):
+        spark.read.parquet(f"{SF}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
+    for name, run in registry.QUERIES.items():
+        assert run(spark, str(tmp_path)).count() == (1 if name == "op5_chat_format" else 0), name
+
+
 def test_subsequence_kernel_by_brute_force():
     from itertools import combinations
 
