@@ -38,7 +38,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest doc_id of each group of near-duplicates; documents without an id stay."""
     found = similar_documents(docs.select("doc_id", "text"))
-    gone = found.where("doc_id != component_id").select("doc_id").distinct()
+    # written first: a join that knows how few they are moves no texts
+    gone = materialize(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 

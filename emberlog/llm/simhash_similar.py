@@ -296,7 +296,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Those of at least the similarity, by the whole sets of the documents in ``pairs`` only."""
-        linked = pairs.select(F.explode(F.array("node", "other")).alias("row")).distinct()
+        # written first: a join that knows how few they are moves no texts
+        linked = materialize(pairs.select(F.explode(F.array("node", "other")).alias("row")).distinct(), "linked")
         texts = signs.select("row", "text").join(linked, "row", "left_semi")
         sets = materialize(texts.select("row", hashed("text").alias("set")).withColumn("n", (F.length("set") / 8).cast("int")), "sets")
         left = sets.select(F.col("row").alias("node"), F.col("set").alias("a"), F.col("n").alias("na"))
