@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -46,7 +47,17 @@ def application_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/emberlog-{spark.sparkContext.applicationId}"
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of results that are written and no longer referred to.
+
+    It does so when the driver's garbage collector meets them, which by itself may
+    be long after.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def materialize(df: DataFrame, what: str, free: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     This cuts lineage as ``checkpoint()`` does, and survives lost executors, but
@@ -56,4 +67,6 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     """
     path = f"{application_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if free:
+        release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)

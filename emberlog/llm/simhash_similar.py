@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 from .components import components
 from .simhash import shingle_hashes
 
@@ -163,7 +163,7 @@ def shard_links(dealt: DataFrame, radius: int, tree_rows: int = TREE_ROWS) -> Da
     large = F.broadcast(dealt.groupBy("key").count().where(F.col("count") > tree_rows))  # at most rows / tree_rows keys a band
     dealt = dealt.join(large, "key", "left")
     tree = F.coalesce(F.pmod(F.xxhash64("node", "key"), F.ceil(F.col("count") / tree_rows)), F.lit(0)).cast("long")
-    links = materialize(_tree_links(dealt.withColumn("tree", tree), radius), "trees")
+    links = materialize(_tree_links(dealt.withColumn("tree", tree), radius), "trees", free=True)
     heads = links.where("node = other").join(large.select("key"), "key", "left_semi").withColumn("tree", F.lit(0).cast("long"))
     return links.union(_tree_links(heads, radius)).where("node != other").select("node", "other")
 
@@ -219,8 +219,8 @@ def prefix_pairs(firsts: DataFrame, similarity: float) -> DataFrame:
 
     dealt = firsts.where("n > 0").select("node", "group", "n", F.posexplode(unpacked("first")).alias("pos", "token"))
     tokens = dealt.groupBy("token").agg(F.count("*").alias("count"), F.min("group").alias("least"), F.max("group").alias("most"))
-    tokens = materialize(tokens.where("least != most").select("token", "count"), "tokens")
-    shared = materialize(dealt.join(tokens, "token").select("token", "count", "node", "group", "n", "pos"), "shared")
+    tokens = materialize(tokens.where("least != most").select("token", "count"), "tokens", free=True)
+    shared = materialize(dealt.join(tokens, "token").select("token", "count", "node", "group", "n", "pos"), "shared", free=True)
     # every pair of blocks is a cell, so that all of a frequent shingle's documents still meet
     blocks = F.ceil(F.col("count") / BLOCK)
     cut = shared.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", "token"), F.col("blocks")))
@@ -256,7 +256,9 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     are without.  Texts are compared whole at any length.  Other columns are not
     read; an empty table gives no rows.
     """
+    release(docs.sparkSession)
     often = frequent_shingles(docs, text, words)
+    release(docs.sparkSession)
 
     @F.pandas_udf("same binary, wide binary, n int, first binary")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -268,8 +270,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     signs = signs.select("doc_id", "text", signed(F.col("text")).alias("s"), F.monotonically_increasing_id().alias("row"))
     signs = materialize(signs.select("doc_id", "text", "row", "s.*"), "signs")
     classes = signs.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
-    classes = materialize(classes, "classes")
-    firsts = materialize(signs.select(F.col("row").alias("node"), "wide", "n", "first").join(classes.select("node"), "node", "left_semi"), "firsts")
+    classes = materialize(classes, "classes", free=True)
+    firsts = materialize(signs.select(F.col("row").alias("node"), "wide", "n", "first").join(classes.select("node"), "node", "left_semi"), "firsts", free=True)
     chosen = bands(classes.count())
 
     @F.pandas_udf("fp long, keys array<long>")
@@ -299,15 +301,15 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         # written first: a join that knows how few they are moves no texts
         linked = materialize(pairs.select(F.explode(F.array("node", "other")).alias("row")).distinct(), "linked")
         texts = signs.select("row", "text").join(linked, "row", "left_semi")
-        sets = materialize(texts.select("row", hashed("text").alias("set")).withColumn("n", (F.length("set") / 8).cast("int")), "sets")
+        sets = materialize(texts.select("row", hashed("text").alias("set")).withColumn("n", (F.length("set") / 8).cast("int")), "sets", free=True)
         left = sets.select(F.col("row").alias("node"), F.col("set").alias("a"), F.col("n").alias("na"))
         right = sets.select(F.col("row").alias("other"), F.col("set").alias("b"), F.col("n").alias("nb"))
         found = pairs.join(left, "node").join(right, "other").where(compared("a", "na", "b", "nb") >= similarity)
-        return materialize(found.select("node", "other").distinct(), "verified")
+        return materialize(found.select("node", "other").distinct(), "verified", free=True)
 
     near = components(verified(links))
     grouped = firsts.join(near, "node", "left").select("node", F.coalesce("root", "node").alias("group"), "n", "first")
-    pairs = materialize(prefix_pairs(grouped, similarity), "pairs")
+    pairs = materialize(prefix_pairs(grouped, similarity), "pairs", free=True)
     # rows that repeat a doc_id connect what they are copies of
     owned = signs.where("doc_id IS NOT NULL").select("doc_id", "same")
     twice = owned.groupBy("doc_id").agg(F.count_distinct("same").alias("n")).where("n > 1").select("doc_id")
