@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlog.llm.common import materialize, table
+from emberlog.llm.common import materialize, small, table
 from emberlog.llm.decontamination import with_overlaps
 from emberlog.llm.language_id import held_out, train, with_language
 from emberlog.llm.line_dedup import drop_repeated_lines
@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = similar_documents(docs.select("doc_id", "text"))
     # written first: a join that knows how few they are moves no texts
     gone = materialize(found.where("doc_id != component_id").select("doc_id").distinct(), "gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return docs.join(small(gone), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,6 +10,7 @@ import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: A word, in the syntax that Java, Python and RE2 share: no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +48,15 @@ def application_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/emberlog-{spark.sparkContext.applicationId}"
 
 
+#: Rows of one number that may go to every executor.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """Written rows of one number, to be broadcast if they are no more than BROADCAST_ROWS (8 MB)."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of results that are written and no longer referred to.
 

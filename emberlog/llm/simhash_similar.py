@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import materialize, release, small
 from .components import components
 from .simhash import shingle_hashes
 
@@ -300,7 +300,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
         """Those of at least the similarity, by the whole sets of the documents in ``pairs`` only."""
         # written first: a join that knows how few they are moves no texts
         linked = materialize(pairs.select(F.explode(F.array("node", "other")).alias("row")).distinct(), "linked")
-        texts = signs.select("row", "text").join(linked, "row", "left_semi")
+        texts = signs.select("row", "text").join(small(linked), "row", "left_semi")
         sets = materialize(texts.select("row", hashed("text").alias("set")).withColumn("n", (F.length("set") / 8).cast("int")), "sets", free=True)
         left = sets.select(F.col("row").alias("node"), F.col("set").alias("a"), F.col("n").alias("na"))
         right = sets.select(F.col("row").alias("other"), F.col("set").alias("b"), F.col("n").alias("nb"))
