@@ -5,7 +5,9 @@ as many bits as keep a shard small.  In each shard a BK-tree holds the
 representatives found so far; a fingerprint within the radius of one links to the
 nearest, any other becomes a representative.  A shard of very many is dealt to
 several trees, whose representatives meet in one tree more.  Links are then verified
-by the Jaccard similarity of the texts' whole sets of shingles.
+by the Jaccard similarity of the texts' whole sets of shingles; pairs whose sets
+cannot share as many, by the number of shingles that either has in each of some
+bins, are left out before, so that few sets move.
 
 The trees join large groups cheaply and need not find every pair: what they miss is
 found by an exact filter.  Sets as similar as that share one of the few shingles
@@ -43,6 +45,8 @@ RADIUS = 20
 ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Documents of a shingle above which they are dealt by pairs of blocks.
 BLOCK = 1024
+#: Bins that shingles are counted in, and the count that stands for any from it on.
+BINS, MOST = 128, 255
 #: Pairs that the filter looks at together.
 CHUNK_PAIRS = 200_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -87,11 +91,24 @@ def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity:
     return short[np.lexsort((hashes, frequency))[:first]]
 
 
-def signature(text: str | None, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, similarity: float = SIMILARITY) -> tuple[bytes, bytes, int, bytes]:
-    """128 bits of hash of the word sequence, wide fingerprint, number of distinct shingles, first tokens."""
+def binned(hashes: np.ndarray) -> bytes:
+    """How many of the hashes are in each bin, up to MOST."""
+    return np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), MOST).astype(np.uint8).tobytes()
+
+
+def may_be_similar(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of ``na`` and ``nb`` hashes may be as similar, by their bins (pair, bin); never false of a pair that is."""
+    unknown = ((a == MOST) & (b == MOST)).any(1)
+    return unknown | (np.minimum(a, b).sum(1, dtype=np.int64) >= least_shared(na + nb, similarity))
+
+
+def signature(
+    text: str | None, often: tuple[np.ndarray, np.ndarray], words: int = WORDS, similarity: float = SIMILARITY
+) -> tuple[bytes, bytes, int, bytes, bytes]:
+    """128 bits of hash of the word sequence, wide fingerprint, number of distinct shingles, first tokens, bins."""
     found = (text or "").encode("utf-8", "surrogatepass").lower().split()
     hashes = np.unique(shingle_hashes(text, words))
-    return xxhash.xxh3_128_digest(b" ".join(found)), wide_fingerprint(hashes), len(hashes), prefix(hashes, often, similarity).tobytes()
+    return xxhash.xxh3_128_digest(b" ".join(found)), wide_fingerprint(hashes), len(hashes), prefix(hashes, often, similarity).tobytes(), binned(hashes)
 
 
 def jaccard(a: bytes, na: int, b: bytes, nb: int) -> float:
@@ -260,10 +277,10 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     often = frequent_shingles(docs, text, words)
     release(docs.sparkSession)
 
-    @F.pandas_udf("same binary, wide binary, n int, first binary")
+    @F.pandas_udf("same binary, wide binary, n int, first binary, bins binary")
     def signed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            yield pd.DataFrame([signature(t, often, words, similarity) for t in texts], columns=["same", "wide", "n", "first"])
+            yield pd.DataFrame([signature(t, often, words, similarity) for t in texts], columns=["same", "wide", "n", "first", "bins"])
 
     # rows have a number, once written: a class of equal texts is the number of one of its rows
     signs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -271,7 +288,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     signs = materialize(signs.select("doc_id", "text", "row", "s.*"), "signs")
     classes = signs.groupBy("same").agg(F.min("row").alias("node"), F.min("doc_id").alias("least"))
     classes = materialize(classes, "classes", free=True)
-    firsts = materialize(signs.select(F.col("row").alias("node"), "wide", "n", "first").join(classes.select("node"), "node", "left_semi"), "firsts", free=True)
+    firsts = materialize(signs.select(F.col("row").alias("node"), "wide", "n", "first", "bins").join(classes.select("node"), "node", "left_semi"), "firsts", free=True)
     chosen = bands(classes.count())
 
     @F.pandas_udf("fp long, keys array<long>")
@@ -291,13 +308,22 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     def compared(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
         return pd.Series([jaccard(*x) for x in zip(a, na, b, nb)], dtype=float)
 
+    @F.pandas_udf("boolean")
+    def possible(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, BINS) for v in (a, b))
+        return pd.Series(may_be_similar(x, na.to_numpy(np.int64), y, nb.to_numpy(np.int64), similarity))
+
     @F.pandas_udf("binary")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series([np.unique(shingle_hashes(t, words)).tobytes() for t in texts], dtype=object)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Those of at least the similarity, by the whole sets of the documents in ``pairs`` only."""
+        """Those of at least the similarity, by the whole sets of the documents in pairs that may be."""
+        counts = firsts.select("node", "bins", "n")
+        left, right = counts.toDF("node", "a", "na"), counts.toDF("other", "b", "nb")
+        pairs = pairs.join(left, "node").join(right, "other").where(possible("a", "na", "b", "nb")).select("node", "other")
+        pairs = materialize(pairs, "possible", free=True)
         # written first: a join that knows how few they are moves no texts
         linked = materialize(pairs.select(F.explode(F.array("node", "other")).alias("row")).distinct(), "linked")
         texts = signs.select("row", "text").join(small(linked), "row", "left_semi")
