@@ -45,8 +45,8 @@ RADIUS = 20
 ORDER_DOCS, ORDER_SHINGLES = 20_000, 200_000
 #: Documents of a shingle above which they are dealt by pairs of blocks.
 BLOCK = 1024
-#: Bins that shingles are counted in, and the count that stands for any from it on.
-BINS, MOST = 128, 255
+#: The count that stands for any from it on in a bin.
+MOST = 255
 #: Pairs that the filter looks at together.
 CHUNK_PAIRS = 200_000
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
@@ -92,14 +92,18 @@ def prefix(hashes: np.ndarray, often: tuple[np.ndarray, np.ndarray], similarity:
 
 
 def binned(hashes: np.ndarray) -> bytes:
-    """How many of the hashes are in each bin, up to MOST."""
-    return np.minimum(np.bincount((hashes % np.uint64(BINS)).astype(np.int64), minlength=BINS), MOST).astype(np.uint8).tobytes()
+    """How many of the hashes are in each bin, up to MOST: half as many bins as hashes at least, a power of two."""
+    bins = 1 << max(4, (len(hashes) // 2).bit_length())
+    return np.minimum(np.bincount((hashes % np.uint64(bins)).astype(np.int64), minlength=bins), MOST).astype(np.uint8).tobytes()
 
 
-def may_be_similar(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets of ``na`` and ``nb`` hashes may be as similar, by their bins (pair, bin); never false of a pair that is."""
-    unknown = ((a == MOST) & (b == MOST)).any(1)
-    return unknown | (np.minimum(a, b).sum(1, dtype=np.int64) >= least_shared(na + nb, similarity))
+def may_be_similar(a: bytes, na: int, b: bytes, nb: int, similarity: float) -> bool:
+    """Whether sets of ``na`` and ``nb`` hashes may be as similar, by their bins; never false of a pair that is."""
+    few, many = sorted((np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)), key=len)
+    if few.max() == MOST or many.max() == MOST:
+        return True
+    # bins are remainders, so that those of the larger number fall together
+    return bool(np.minimum(few, many.reshape(-1, len(few)).sum(0)).sum() >= least_shared(na + nb, similarity))
 
 
 def signature(
@@ -310,8 +314,7 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
 
     @F.pandas_udf("boolean")
     def possible(a: pd.Series, na: pd.Series, b: pd.Series, nb: pd.Series) -> pd.Series:
-        x, y = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, BINS) for v in (a, b))
-        return pd.Series(may_be_similar(x, na.to_numpy(np.int64), y, nb.to_numpy(np.int64), similarity))
+        return pd.Series([may_be_similar(*x, similarity) for x in zip(a, na, b, nb)], dtype=bool)
 
     @F.pandas_udf("binary")
     def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
