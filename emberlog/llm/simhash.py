@@ -29,6 +29,8 @@ from .components import components
 RADIUS = 2
 #: A shard of more fingerprints than this is cut again.
 SHARD_ROWS = 512
+#: So many links or fewer are connected by one task; more by steps over tables.
+LINKS_AT_ONCE = 200_000
 
 
 def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
@@ -180,7 +182,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # rows that repeat a doc_id connect their fingerprints through it
     owned = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("other"), F.max("fp").alias("most"))
     again = prints.join(owned.where("other != most"), "doc_id").select(F.col("fp").alias("node"), "other")
-    roots = components(fingerprint_links(firsts.select("fp", F.col("fp").alias("node"))).union(again))
+    roots = components(fingerprint_links(firsts.select("fp", F.col("fp").alias("node"))).union(again), LINKS_AT_ONCE)
     rooted = firsts.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
     of_print = materialize(rooted.join(least, "root").select("fp", "component_id"), "classes")

@@ -210,6 +210,21 @@ def test_components(spark):
     assert components.components(spark.createDataFrame([], "node long, other long")).count() == 0
 
 
+def test_few_links_are_connected_by_one_task(spark, monkeypatch):
+    rng = random.Random(22)
+    edges = [(rng.randrange(-200, 200), rng.randrange(-200, 200)) for _ in range(230)] + [(-1000 - i, -1001 - i) for i in range(60)] + [(5, 5)] * 3
+    frame = spark.createDataFrame(edges, "node long, other long")
+    by_steps = sorted(map(tuple, components.components(frame).collect()))
+    steps = []
+    monkeypatch.setattr(components, "_large_star", lambda edges, f=components._large_star: steps.append(1) or f(edges))
+    assert sorted(map(tuple, components.components(frame, 1000).collect())) == by_steps
+    assert components.components(frame.limit(0), 1000).count() == 0
+    rows = [(i, f"one text of a few words with {'x' if i % 3 else 'y'}") for i in range(12)]
+    assert {(r.doc_id, r.component_id) for r in simhash.near_duplicates(documents(spark, rows)).collect()} == {(i, min(1, i % 3)) for i in range(12)}
+    assert not steps
+    assert sorted(map(tuple, components.components(frame, 10).collect())) == by_steps and steps
+
+
 # 3
 
 
