@@ -6,12 +6,13 @@ counted over all of them.  A shard is what one task reads, up to SHARD_DOCS and
 SHARD_POSTINGS: it inverts its documents and keeps, for each word and block of
 documents, the largest impact.
 
-A query adds up its words' lists, the words with the largest impacts first.  Scores
-only grow, so the k-th best so far is a threshold.  Once the words that are left
+The commonest words of a shard are added for many queries at once, by a matrix
+product.  A query then adds up its other words' lists, the words with the largest
+impacts first, short lists together.  Scores only grow, so the k-th best so far is a threshold.  Once the words that are left
 could not bring in a document alone, pivots are looked for as in block-max WAND: only
 a document whose score so far, with its block's largest impacts of the words that are
 left, reaches the threshold.  If pivots are few, they alone are scored to the end,
-from their own words, and the long lists of the frequent words are never read.  The best of
+from their own words, and the lists that are left are never read.  The best of
 all shards are merged; since statistics are global, the result is that of one index.
 """
 
@@ -30,6 +31,11 @@ from .common import materialize, ranges, table
 K, K1, B = 10, 1.2, 0.75
 SHARD_DOCS, SHARD_POSTINGS = 32_768, 4_000_000
 BLOCK_DOCS = 64
+#: Words in at least one of so many documents of a shard are added by a matrix product, for
+#: so many queries at once, and no more words than this, nor impacts (8 bytes each).
+COMMON, QUERY_ROWS, COMMON_WORDS, COMMON_IMPACTS = 32, 64, 384, 4_000_000
+#: Lists shorter than this are added several at once.
+SHORT = 256
 #: Different words of queries that are searched at once (16 bytes each, on every executor);
 #: more queries go in further blocks.
 BLOCK_TERMS = 2_000_000
@@ -77,34 +83,66 @@ class Shard:
         self.top = np.zeros(len(idf))
         np.maximum.at(self.top, term[begin], self.most)
         self.weight_of = np.zeros(len(idf))
+        size = np.diff(self.lists)
+        common = np.flatnonzero(size * COMMON >= max(1, len(ids)))
+        common = common[np.argsort(-size[common], kind="stable")[: min(COMMON_WORDS, COMMON_IMPACTS // max(1, len(ids)))]]
+        #: Row of each common word among the impacts of the common words, by document; -1: not common.
+        self.row = np.full(len(idf), -1, np.int32)
+        self.row[common] = np.arange(len(common))
+        self.impacts = np.zeros((len(common), len(ids)))
+        for n, (b, e) in enumerate(zip(self.lists[common].tolist(), self.lists[common + 1].tolist())):
+            self.impacts[n, self.doc[b:e]] = self.impact[b:e]
         #: Postings of the words of all queries so far, and those that were read.
         self.postings, self.read = 0, 0
 
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None) -> list[tuple[int, float]]:
-        """The k best (doc_id, score), by rounded score and then doc_id; documents with no word in common have no score."""
+    def begun(self, asked: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Scores of all documents by the common words of each query ``(terms, weights)``."""
+        weights = np.zeros((len(asked), len(self.impacts)))
+        for n, (terms, own) in enumerate(asked):
+            row = self.row[terms]
+            weights[n, row[row >= 0]] = own[row >= 0]
+        # queries of one language, say, share few of the others' words
+        used = np.flatnonzero(weights.any(0))
+        return weights[:, used] @ self.impacts[used]
+
+    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int | None = None, score: np.ndarray | None = None) -> list[tuple[int, float]]:
+        """The k best (doc_id, score), by rounded score and then doc_id; documents with no word in common have no score.
+
+        ``score`` is what ``begun`` gives for the query; without it common words are added like others.
+        """
         some = self.lists[terms + 1] > self.lists[terms]
         order = np.argsort(-self.top[terms[some]] * weights[some], kind="stable")
         terms, weights = terms[some][order], weights[some][order]
         if not len(terms):
             return []
-        begin, end = self.lists[terms], self.lists[terms + 1]
+        every = terms, weights
+        if score is None:
+            score = np.zeros(len(self.ids))
+        else:
+            rare = self.row[terms] < 0
+            added = int((self.lists[terms + 1] - self.lists[terms])[~rare].sum())
+            self.postings += added
+            self.read += added
+            terms, weights = terms[rare], weights[rare]
+        begin, sizes = self.lists[terms], self.lists[terms + 1] - self.lists[terms]
         left = np.cumsum((self.top[terms] * weights)[::-1])[::-1]
-        total = int((end - begin).sum())
+        reads = np.cumsum(sizes)
+        total = int(sizes.sum())
         self.postings += total
         own = np.flatnonzero(self.ids == skip) if skip is not None else np.empty(0, np.int64)
-        score = np.zeros(len(self.ids))
-        read, look = 0, total // 8
+        read, look, i = 0, total // 4, 0
         found = None
-        for i, (b, e, w) in enumerate(zip(begin.tolist(), end.tolist(), weights.tolist())):
+        while i < len(terms):
             if read > look:
-                look = read * 1.5
+                look = read * 2
                 found = self._pivots(score, terms[i:], weights[i:], left[i], own, k, total - read)
                 if found is not None:
-                    score = self._scored(found, terms, weights)
+                    score = self._scored(found, *every)
                     break
-            # a document is in a list once
-            score[self.doc[b:e]] += w * self.impact[b:e]
-            read += e - b
+            # as far as pivots are looked for next
+            j = min(int(np.searchsorted(reads, look, "right")) + 1, len(terms))
+            self._add(score, begin[i:j], sizes[i:j], weights[i:j])
+            read, i = int(reads[j - 1]), j
         self.read += read
         if found is None:
             found = np.flatnonzero(score)
@@ -119,6 +157,17 @@ class Shard:
         best = sorted((-round(s, DIGITS), d) for s, d in zip(score.tolist(), self.ids[found].tolist()))[:k]
         return [(d, -s) for s, d in best]
 
+    def _add(self, score: np.ndarray, begin: np.ndarray, sizes: np.ndarray, weights: np.ndarray) -> None:
+        """Add lists to the scores."""
+        short = sizes < SHORT
+        if short.any():
+            at = ranges(begin[short], sizes[short])
+            score += np.bincount(self.doc[at], weights=self.impact[at] * np.repeat(weights[short], sizes[short]), minlength=len(score))
+        long = ~short
+        for b, n, w in zip(begin[long].tolist(), sizes[long].tolist(), weights[long].tolist()):
+            # a document is in a list once
+            score[self.doc[b : b + n]] += w * self.impact[b : b + n]
+
     def _pivots(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, left: float, own: np.ndarray, k: int, postings: int) -> np.ndarray | None:
         """Documents that the words that are left could lift to the threshold, if they have fewer words than the lists that are left."""
         if len(score) <= k + len(own):
@@ -224,7 +273,10 @@ def _search_block(forward: DataFrame, sizes: tuple, asked: list[tuple], k: int,
         frequency[r.term] = r.df
     mean = max(1e-9, (sizes[1] or 0) / max(1, sizes[0]))
     idf = np.log(1 + (sizes[0] - frequency + 0.5) / (frequency + 0.5))
-    model = spark.sparkContext.broadcast(([(q, np.searchsorted(words, t), c.astype(float)) for q, t, c in asked], idf, mean))
+    placed = [(q, np.searchsorted(words, t), c.astype(float)) for q, t, c in asked]
+    # queries with the same most common word stand together
+    placed.sort(key=lambda x: int(x[1][frequency[x[1]].argmax()]) if len(x[1]) else -1)
+    model = spark.sparkContext.broadcast((placed, idf, mean))
 
     def searched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked_, idf_, mean_ = model.value
@@ -232,7 +284,11 @@ def _search_block(forward: DataFrame, sizes: tuple, asked: list[tuple], k: int,
         def answer(held: list[tuple]) -> pd.DataFrame:
             ids, lengths, terms, counts = zip(*held)
             shard = Shard(np.array(ids, np.int64), np.array(lengths, np.int64), list(terms), list(counts), idf_, mean_)
-            rows = [(q, d, s) for q, t, c in asked_ for d, s in shard.search(t, c, k, q if skip_self else None)]
+            rows = []
+            for at in range(0, len(asked_), QUERY_ROWS):
+                some = asked_[at : at + QUERY_ROWS]
+                for (q, t, c), begun in zip(some, shard.begun([x[1:] for x in some])):
+                    rows += [(q, d, s) for d, s in shard.search(t, c, k, q if skip_self else None, begun)]
             return pd.DataFrame(rows, columns=["query_id", "doc_id", "score"]).astype({"query_id": "int64", "doc_id": "int64", "score": "float64"})
 
         held, postings = [], 0

@@ -493,6 +493,29 @@ def test_search_skips_postings():
     assert shard.read < 0.75 * shard.postings
 
 
+def test_search_adds_common_words_of_many_queries_at_once(monkeypatch):
+    rng = np.random.default_rng(5)
+    n, words = 1500, 3000
+    bags = [np.unique((words * rng.random(int(rng.integers(0, 120))) ** 3).astype(np.int64)) for _ in range(n)]
+    counts = [rng.integers(1, 4, len(b)).astype(np.uint32) for b in bags]
+    lengths = np.array([c.sum() for c in counts])
+    df = np.bincount(np.concatenate(bags), minlength=words)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    shard = topk_search.Shard(np.arange(n), lengths, [b.astype(np.uint32) for b in bags], counts, idf, lengths.mean())
+    impact = np.zeros((n, words))
+    for d, (b, c) in enumerate(zip(bags, counts)):
+        impact[d, b] = idf[b] * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * lengths[d] / lengths.mean()))
+    added = []
+    monkeypatch.setattr(topk_search.Shard, "_add", lambda self, score, begin, sizes, *more, f=topk_search.Shard._add: added.append(sizes.sum()) or f(self, score, begin, sizes, *more))
+    asked = [(bags[q], counts[q].astype(float)) for q in range(70)]
+    for q, ((terms, weights), begun) in enumerate(zip(asked, shard.begun(asked))):
+        score = impact[:, terms] @ weights
+        wanted = sorted((-round(s, 6), d) for d, s in enumerate(score.tolist()) if d != q and s)[:10]
+        assert [i for i, _ in shard.search(terms, weights, 10, q, begun)] == [d for _, d in wanted]
+        assert [i for i, _ in shard.search(terms, weights, 10, q)] == [d for _, d in wanted]
+    assert sum(added) < shard.postings / 1.5
+
+
 # 8
 
 
